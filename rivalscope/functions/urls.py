@@ -87,8 +87,15 @@ def _squash(path: Column) -> Column:
     return F.concat(F.array_join(kept, "/"), tail)
 
 
-def resolve_url(href: Column | str, base: Column | str) -> Column:
-    """Absolute form of a link without fragment; NULL for empty, '#' and javascript links."""
+def resolve_url(href: Column | str, base: Column | str, keep_fragment: bool = False) -> Column:
+    """Absolute form of a link; NULL for empty, '#' and javascript links."""
+    plain = _resolved(href, base)
+    if not keep_fragment:
+        return plain
+    return F.concat(plain, F.regexp_extract(as_col(href), r"(#.*)$", 1))
+
+
+def _resolved(href: Column | str, base: Column | str) -> Column:
     h, b = F.trim(as_col(href)), as_col(base)
     bare = F.regexp_replace(h, r"#.*$", "")
     path = F.regexp_replace(bare, r"\?.*$", "")

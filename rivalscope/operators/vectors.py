@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import as_col
 from .relational import top_n_per_group
+from ..shipping import ship
+
+ship(__name__)
 
 
 def dot(a: Column, b: Column) -> Column:

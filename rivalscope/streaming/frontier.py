@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.relational import anti_join
+from ..shipping import ship
+
+ship(__name__)
 
 STATE_SCHEMA = ("url_id string, domain string, status string, retries int, last_error string, "
                 "updated_at timestamp, due_at timestamp")
