@@ -87,29 +87,48 @@ def _squash(path: Column) -> Column:
     return F.concat(F.array_join(kept, "/"), tail)
 
 
+def base_parts(base: Column | str) -> Column:
+    """What link resolution needs of a base URL, as one struct."""
+    b = as_col(base)
+    path = F.when(url_part(b, "path") == "", "/").otherwise(url_part(b, "path"))
+    bare = F.regexp_replace(b, r"#.*$", "")
+    return F.struct(url_part(b, "scheme").alias("scheme"), url_part(b, "authority").alias("authority"),
+                    F.regexp_replace(path, r"[^/]*$", "").alias("folder"), bare.alias("bare"))
+
+
 def resolve_url(href: Column | str, base: Column | str, keep_fragment: bool = False) -> Column:
-    """Absolute form of a link; NULL for empty, '#' and javascript links."""
-    plain = _resolved(href, base)
+    """Absolute form of a link; NULL for empty, '#' and javascript links.
+
+    ``base`` is a URL or a :func:`base_parts` struct column named ``base``.
+    """
+    parts = base_parts(base) if base is not BASE else F.col("base")
+    plain = _resolved(as_col(href), parts)
     if not keep_fragment:
         return plain
     return F.concat(plain, F.regexp_extract(as_col(href), r"(#.*)$", 1))
 
 
-def _resolved(href: Column | str, base: Column | str) -> Column:
-    h, b = F.trim(as_col(href)), as_col(base)
-    bare = F.regexp_replace(h, r"#.*$", "")
-    path = F.regexp_replace(bare, r"\?.*$", "")
-    query = F.regexp_extract(bare, r"(\?.*)$", 1)
-    root = F.concat(url_part(b, "scheme"), F.lit("://"), url_part(b, "authority"))
-    folder = F.regexp_replace(F.when(url_part(b, "path") == "", "/").otherwise(url_part(b, "path")), r"[^/]*$", "")
-    no_fragment = F.regexp_replace(b, r"#.*$", "")
+#: Marks that the base parts are already in column ``base``.
+BASE = object()
+
+
+def _resolved(href: Column, b: Column) -> Column:
+    h = F.trim(href)
+    bare = F.when(h.contains("#"), F.regexp_replace(h, r"#.*$", "")).otherwise(h)
+    path = F.when(bare.contains("?"), F.regexp_replace(bare, r"\?.*$", "")).otherwise(bare)
+    query = F.when(bare.contains("?"), F.regexp_extract(bare, r"(\?.*)$", 1)).otherwise("")
+    root = F.concat(b["scheme"], F.lit("://"), b["authority"])
+
+    def tidy(p: Column) -> Column:
+        return F.when(p.contains("/."), _squash(p)).otherwise(p)
+
     return (F.when(h.isNull() | (h == "") | (h == "#") | h.startswith("javascript:"), F.lit(None).cast("string"))
+            .when(bare.startswith("//"), F.concat(b["scheme"], F.lit(":"), bare))
+            .when(bare.startswith("/"), F.concat(root, tidy(path), query))
             .when(bare.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), bare)
-            .when(bare.startswith("//"), F.concat(url_part(b, "scheme"), F.lit(":"), bare))
-            .when(bare.startswith("/"), F.concat(root, _squash(path), query))
-            .when(bare == "", no_fragment)
-            .when(bare.startswith("?"), F.concat(F.regexp_replace(no_fragment, r"\?.*$", ""), bare))
-            .otherwise(F.concat(root, _squash(F.concat(folder, path)), query)))
+            .when(bare == "", b["bare"])
+            .when(bare.startswith("?"), F.concat(F.regexp_replace(b["bare"], r"\?.*$", ""), bare))
+            .otherwise(F.concat(root, tidy(F.concat(b["folder"], path)), query)))
 
 
 def resource_type(url: Column | str, content_type: Column | str) -> Column:

@@ -158,22 +158,24 @@ def syllables(word: Column) -> Column:
     return F.when(F.length(w) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(bare, F.lit("[aeiouy]+"))))
 
 
-def readability(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Flesch reading ease and grade; NULL below 100 words or 3 sentences."""
+def with_readability(df: DataFrame, text: str = "text") -> DataFrame:
+    """Flesch reading ease and grade as columns; NULL below 100 words or 3 sentences."""
     w = F.regexp_extract_all(F.col(text), F.lit(r"(?U)(\w+(?:['\-]+\w+)*)"), 1)
     sentences = F.filter(F.split(text, r"[.!?]+"), lambda s: F.regexp_replace(s, r"(?U)\s+", "") != "")
-    base = df.select(key, w.alias("_w"), F.size(sentences).alias("sentences"))
-    base = base.select(key, F.size("_w").alias("words"), "sentences",
-                       F.aggregate("_w", F.lit(0), lambda acc, x: acc + syllables(x)).alias("syllables"))
+    base = df.withColumns({"_w": w, "sentences": F.size(sentences)})
+    base = base.withColumns({"words": F.size("_w"), "syllables": F.aggregate("_w", F.lit(0), lambda acc, x: acc + syllables(x))})
     enough = (F.col("words") >= 100) & (F.col("sentences") >= 3)
     asl = F.try_divide(F.col("words").cast("double"), F.col("sentences"))
     asw = F.try_divide(F.col("syllables").cast("double"), F.col("words"))
-    return base.select(
-        key, "words", "sentences", "syllables",
-        F.when(enough, fixed(206.835 - 1.015 * asl - 84.6 * asw, 2)).alias("flesch_reading_ease"),
-        F.when(enough, fixed(0.39 * asl + 11.8 * asw - 15.59, 2)).alias("flesch_kincaid_grade"),
-        F.when(enough, fixed(asl, 2)).alias("avg_sentence_length"),
-        F.when(enough, fixed(asw, 2)).alias("avg_syllables_per_word"))
+    return base.withColumns({
+        "flesch_reading_ease": F.when(enough, fixed(206.835 - 1.015 * asl - 84.6 * asw, 2)),
+        "flesch_kincaid_grade": F.when(enough, fixed(0.39 * asl + 11.8 * asw - 15.59, 2)),
+        "avg_sentence_length": F.when(enough, fixed(asl, 2)),
+        "avg_syllables_per_word": F.when(enough, fixed(asw, 2))}).drop("_w")
+
+
+def readability(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return with_readability(df.select(key, text), text).drop(text)
 
 
 def reading_label(score: Column | str) -> Column:
@@ -183,9 +185,9 @@ def reading_label(score: Column | str) -> Column:
             .when(s.isNotNull(), "Very difficult to read."))
 
 
-def text_html_ratio(text: Column | str, html: Column | str) -> dict[str, Column]:
+def text_html_ratio(text_length: Column, html_length: Column) -> dict[str, Column]:
     """Share of visible text in the page source, with a band."""
-    share = F.coalesce(F.try_divide(F.length(as_col(text)).cast("double"), F.length(as_col(html))), F.lit(0.0))
+    share = F.coalesce(F.try_divide(text_length.cast("double"), html_length), F.lit(0.0))
     percent = fixed(share * 100, 2)
     return {"text_html_ratio": percent,
             "text_html_status": F.when(percent < 15, "low_ratio").when(percent > 70, "high_ratio").otherwise("calculated")}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import fixed
 from ..functions.text import occurrences, word_count
-from ..functions.urls import resolve_url, url_friendliness, url_host, url_part
+from ..functions.urls import BASE, base_parts, resolve_url, url_friendliness, url_host, url_part
 from ..operators.text import CTA_PHRASES, bind_once, date_markers, top_counts, words
 from ..sources.html import (attr, elements, first, has_attr, inside, subtext, tagged, visible_text, with_nodes)
 
@@ -39,7 +39,7 @@ def page_parts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     base = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     n = with_nodes(base)
     return n.select(
-        "page_id", "url", "html", "nodes", visible_text(F.col("nodes")).alias("visible_text"),
+        "page_id", "url", "html", "nodes", base_parts("url").alias("base"), visible_text(F.col("nodes")).alias("visible_text"),
         elements(F.col("nodes")).alias("els"), tagged(F.col("nodes"), "meta").alias("metas"),
         tagged(F.col("nodes"), "link").alias("links"), tagged(F.col("nodes"), "a").alias("anchors"),
         tagged(F.col("nodes"), "img").alias("imgs"),
@@ -161,8 +161,8 @@ def _links() -> Column:
     """Anchors that lead somewhere, with absolute URL, text and rel words."""
     used = F.filter("anchors", lambda a: (F.coalesce(attr(a, "href"), F.lit("")) != "")
                     & ~attr(a, "href").rlike("^(#|mailto:|tel:|javascript:)"))
-    host = F.lower(url_part("url", "authority"))
-    return F.transform(used, lambda a: bind_once(resolve_url(attr(a, "href"), F.col("url"), keep_fragment=True), lambda u: F.struct(
+    host = F.lower(F.col("base.authority"))
+    return F.transform(used, lambda a: bind_once(resolve_url(attr(a, "href"), BASE, keep_fragment=True), lambda u: F.struct(
         u.alias("u"), (F.lower(url_part(u, "authority")) == host).alias("internal"),
         subtext(F.col("nodes"), a).alias("text"), F.split(F.coalesce(attr(a, "rel"), F.lit("")), r"\s+").alias("rel"),
         attr(a, "target").alias("target"))))
@@ -225,13 +225,13 @@ def tag_map(attribute: str, prefix: str) -> Column:
 
 def icon_url(value: str) -> Column:
     found = F.filter("links", lambda e: F.lower(F.coalesce(attr(e, "rel"), F.lit(""))).contains(value) & has_attr(e, "href"))
-    return resolve_url(attr(first(found), "href"), F.col("url"))
+    return resolve_url(attr(first(found), "href"), BASE)
 
 
 def social_meta() -> dict[str, Column]:
     og, tw = tag_map("property", "og:"), tag_map("name", "twitter:")
     default = F.filter("links", lambda e: attr(e, "href") == "/favicon.ico")
-    icon = F.coalesce(icon_url("icon"), resolve_url(attr(first(default), "href"), F.col("url")))
+    icon = F.coalesce(icon_url("icon"), resolve_url(attr(first(default), "href"), BASE))
     return {"open_graph": og, "has_open_graph": F.size(og) > 0, "twitter_card": tw, "has_twitter_card": F.size(tw) > 0,
             "product_meta": tag_map("property", "product:"), "apple_touch_icon": icon_url("apple-touch-icon"),
             "favicon": icon, "has_favicon": icon.isNotNull()}
@@ -295,8 +295,8 @@ def index_directives() -> dict[str, Column]:
     return {
         "language": F.lower(F.nullif(attr(first(tagged(F.col("nodes"), "html")), "lang"), F.lit(""))),
         "hreflang": F.transform(alternates, lambda e: F.struct(
-            attr(e, "hreflang").alias("lang_code"), resolve_url(attr(e, "href"), F.col("url")).alias("url"))),
-        "canonical_url": resolve_url(attr(canonical, "href"), F.col("url")), "has_canonical": canonical.isNotNull(),
+            attr(e, "hreflang").alias("lang_code"), resolve_url(attr(e, "href"), BASE).alias("url"))),
+        "canonical_url": resolve_url(attr(canonical, "href"), BASE), "has_canonical": canonical.isNotNull(),
         "meta_robots": robots, "has_noindex": F.coalesce(robots.contains("noindex"), F.lit(False)),
         "has_nofollow": F.coalesce(robots.contains("nofollow"), F.lit(False))}
 
@@ -347,8 +347,9 @@ def tag_scan() -> dict[str, Column]:
     any_hit = F.lit(False)
     for c in hits.values():
         any_hit = any_hit | c
+    found = F.regexp_extract_all("html", F.lit(r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"), 1)
     mails = F.array_distinct(F.filter(
-        F.regexp_extract_all("html", F.lit(r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"), 1),
+        F.when(F.col("html").contains("@"), found).otherwise(F.array().cast("array<string>")),
         lambda m: ~F.lower(m).rlike(r"\.(png|jpg|gif|svg|css|js)")))
     refresh = first(F.filter("metas", lambda m: F.coalesce(attr(m, "http-equiv").rlike("(?i)refresh"), F.lit(False))))
 
