@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import text as tx
 from ..plans import audit, issues, page_features as pf, page_types, products
 from ..sources import html as src_html
-from . import R, bind, query
-from .content import _M, _DEPTH  # noqa: F401  (the class rules of the SQL side)
+from . import QUERIES, R, bind, query
 
 # The corpus with a head and a tail added to every page, so that each feature has something to find.
 _HEAD = ("<meta name=\"Description\" content=\"Buy now: the best offers of shop '||page_id||' for you, every day and every week, with free returns.\">"
@@ -90,8 +89,6 @@ def _names(spark, d):
     return pf.pick(parts(spark, d), {"images_with_keyword_alt": g["images_with_keyword_alt"], "poor_names": F.array_join(g["image_poor_names"], ",")}).drop("url")
 
 
-from . import QUERIES  # noqa: E402
-
 QUERIES["aud_13_image_names"] = _names
 
 # Links: every link of the corpus is root-relative, absolute, or a bare word.
@@ -113,8 +110,7 @@ def _(spark, d):
     f = pf.link_features()
     p = pf.pick(pf.with_links(parts(spark, d)), {n: f[n] for n in ("internal_links", "external_links")})
     inner = p.select("page_id", F.lit("internal").alias("kind"), F.explode("internal_links").alias("link")).withColumn("link", F.regexp_replace("link", "^https?://[^/]*", ""))
-    outer = p.select("page_id", F.lit("external").alias("kind"), F.regexp_replace(F.explode("external_links"), "^https?://", "").alias("link")) if False else \
-        p.select("page_id", F.lit("external").alias("kind"), F.explode("external_links").alias("link")).withColumn("link", F.regexp_replace("link", "^https?://", ""))
+    outer = p.select("page_id", F.lit("external").alias("kind"), F.explode("external_links").alias("link")).withColumn("link", F.regexp_replace("link", "^https?://", ""))
     return inner.unionByName(outer)
 
 
@@ -175,7 +171,7 @@ def _(spark, d):
                    {"name": F.get_json_object(src_html.first(g["json_ld"]), "$.name")}).drop("url")
 
 
-@query("aud_18_tag_scan", f"{RICH} SELECT page_id, false AS has_analytics, 'a' || page_id || '@shop.example' AS emails, false AS has_meta_refresh, true AS uses_webp, false AS uses_avif FROM rich")
+@query("aud_18_tag_scan", f"{RICH} SELECT page_id, false AS has_analytics, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}'), lambda m: NOT regexp_matches(lower(m), '\\.(png|jpg|gif|svg|css|js)')))), ',') AS emails, false AS has_meta_refresh, true AS uses_webp, false AS uses_avif FROM rich")
 def _(spark, d):
     g = pf.tag_scan()
     g["emails"] = F.array_join(g["plain_emails"], ",")
@@ -206,7 +202,7 @@ _SCORE_SRC = (f"{RICH}, " + _VISIBLE[2:] + r", w AS (SELECT page_id, html, len(r
               "len(list_distinct(regexp_extract_all(html, '<a href=\"[^\"]*\"'))) AS links FROM src)")
 
 
-@query("aud_25_on_page_score", _SCORE_SRC + f" SELECT page_id, {R(f'({_ON}) / 89.9 * 100', 1)} AS on_page_score_percent FROM w")
+@query("aud_25_on_page_score", _SCORE_SRC + f" SELECT page_id, {R(f'({_ON}) / 102.0 * 100', 1)} AS on_page_score_percent FROM w")
 def _(spark, d):
     return audit.score_pages(pf.audit_features(rich(spark, d), "offers"), keywords=["offers"]).select("page_id", "on_page_score_percent")
 
@@ -263,7 +259,7 @@ def _(spark, d):
     return audit.asset_caching(e).select("page_id", "resource_type", "url", "has_cache_control")
 
 
-@query("aud_30_psi_flatten", """SELECT event_id, CAST(round(CAST(value / 100 AS DECIMAL(18,4)) * 100) AS INTEGER) AS performance_score, CAST(NULL AS INTEGER) AS seo_score, event_type || ' s' AS speed_index, '7' AS total_blocking_time, 'FAST' AS crux_category FROM events WHERE value < 100""")
+@query("aud_30_psi_flatten", """SELECT event_id, CAST(round(CAST(CAST(value / 100 AS DECIMAL(18,4)) AS DOUBLE) * 100) AS INTEGER) AS performance_score, CAST(NULL AS INTEGER) AS seo_score, event_type || ' s' AS speed_index, '7' AS total_blocking_time, 'FAST' AS crux_category FROM events WHERE value < 100""")
 def _(spark, d):
     e = bind(spark, d, "events").filter("value < 100")
     body = F.concat(F.lit('{"lighthouseResult": {"categories": {"performance": {"score": '), F.round(F.col("value") / 100, 4).cast("decimal(18,4)").cast("string"),
@@ -275,7 +271,8 @@ def _(spark, d):
 def _(spark, d):
     """Whole run: pages to snapshots to ranked issues per host."""
     from ..functions.urls import url_hash, url_host
-    snaps = audit.audit_pages(rich(spark, d), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), ["offers"])
+    from ..session import cut_lineage
+    snaps = cut_lineage(audit.audit_pages(rich(spark, d), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), ["offers"]))
     owners = bind(spark, d, "pages").select(url_hash("url").alias("url_hash"), url_host("url").alias("competitor_id")).distinct()
     return issues.competitor_action_plan(issues.competitor_top_issues(snaps, owners))
 

@@ -234,7 +234,8 @@ def rule_rows_long(features: DataFrame, weights: Mapping[str, Mapping[str, float
                    keywords: Sequence[str] = ()) -> DataFrame:
     """One row per page and rule."""
     rows = with_rule_rows(score_inputs(features, keywords), weights, len(keywords))
-    return rows.select("page_id", F.inline("rule_rows"))
+    # The outer form keeps the optimizer from evaluating the array a second time in a filter.
+    return rows.select("page_id", F.inline_outer("rule_rows"))
 
 
 def category_percents(rows: DataFrame) -> DataFrame:

@@ -20,9 +20,11 @@ def issue_array(seo_flags: str = "seo_flags") -> Column:
 
 def issues_long(snapshots: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per snapshot issue with its competitor."""
-    lists = snapshots.select("page_url_hash", issue_array().alias("_issues")).filter(F.size("_issues") > 0)
+    lists = snapshots.select("page_url_hash", issue_array().alias("_issues"))
     owner = pages.select(F.col("url_hash").alias("page_url_hash"), "competitor_id")
-    return lists.join(owner, "page_url_hash").select("competitor_id", "page_url_hash", F.explode("_issues").alias("issue"))
+    # The outer form keeps the optimizer from parsing the JSON a second time in a filter.
+    return lists.join(owner, "page_url_hash").select(
+        "competitor_id", "page_url_hash", F.explode_outer("_issues").alias("issue")).filter(F.col("issue").isNotNull())
 
 
 def issue_impact(issue: str = "issue") -> Column:
