@@ -171,7 +171,7 @@ def _(spark, d):
                    {"name": F.get_json_object(src_html.first(g["json_ld"]), "$.name")}).drop("url")
 
 
-@query("aud_18_tag_scan", f"{RICH} SELECT page_id, false AS has_analytics, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}'), lambda m: NOT regexp_matches(lower(m), '\\.(png|jpg|gif|svg|css|js)')))), ',') AS emails, false AS has_meta_refresh, true AS uses_webp, false AS uses_avif FROM rich")
+@query("aud_18_tag_scan", f"{RICH} SELECT page_id, false AS has_analytics, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}'), lambda m: NOT regexp_matches(lower(m), '\\.(png|jpg|gif|svg|css|js)')))), ',') AS emails, false AS has_meta_refresh, true AS uses_webp, false AS uses_avif FROM rich")
 def _(spark, d):
     g = pf.tag_scan()
     g["emails"] = F.array_join(g["plain_emails"], ",")
