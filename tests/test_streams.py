@@ -64,10 +64,11 @@ def test_lease_expiry_by_timer(spark, folder):
 def test_daily_metrics_with_late_rows(spark, folder):
     schema = "external_post_id string, like_count int, snapshot_time timestamp"
     day = 86400
-    batches = [[("p", 10, at(0))], [("p", 20, at(6 * day))], [("p", 30, at(60))], [("p", 99, at(30 * day))], [("p", 1000, at(120))]]
+    batches = [[("p", 10, at(0))], [("p", 20, at(6 * day))], [("p", 30, at(60))], [("p", 99, at(30 * day))],
+               [("p", 99, at(30 * day + 1))], [("p", 1000, at(120))]]
     out = run(metrics.post_daily_metrics_stream(stream_of(spark, folder, batches, schema)), folder, "update", spark)
     first = [r.avg_likes for r in out if r.day == dt.date(2024, 1, 1)]
-    assert first[-1] == 20.0  # the late row of the third batch counts, the one of the fifth is too old
+    assert first[-1] == 20.0  # the late row of the third batch counts, the last one is too old
 
 
 def test_rate_usage_stream_equals_batch(spark, folder):
