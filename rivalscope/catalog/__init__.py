@@ -8,13 +8,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .bindings import R, bind, with_
+from .bindings import R, bind, spread, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-__all__ = ["QUERIES", "SQL", "query", "load", "bind", "with_", "R"]
+__all__ = ["QUERIES", "SQL", "query", "load", "bind", "with_", "R", "spread"]
 
 
 def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:

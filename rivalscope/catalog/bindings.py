@@ -39,10 +39,18 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 
 
+#: Tables whose rows are costly to work on (texts, pages, stored reports).
+COSTLY = {"documents", "pages", "page_snapshots"}
+
+
 def bind(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A model table or an input table as a DataFrame."""
+    def table(t: str) -> DataFrame:
+        df = read_table(spark, t, folder)
+        return spread(df) if name in COSTLY else df
+
     if name in TABLES:
-        return read_table(spark, name, folder)
+        return table(name)
     text = BINDINGS[name]
     used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", text)]
     for t in used:
@@ -51,7 +59,17 @@ def bind(spark: SparkSession, folder: str, name: str) -> DataFrame:
     for t in used:
         text = text.replace("{" + t + "}", f"\x00{t}\x01")
     text = text.replace("{", "{{").replace("}", "}}").replace("\x00", "{").replace("\x01", "}")
-    return spark.sql(text, **{t: read_table(spark, t, folder) for t in used})
+    return spark.sql(text, **{t: table(t) for t in used})
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small file over all cores, for queries whose cost is per row.
+
+    A file of one row group is one task. Input that already has at least one
+    task per core is left as it is, so large input is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def with_(*names: str) -> str:

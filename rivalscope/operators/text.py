@@ -214,11 +214,16 @@ def spellcheck(df: DataFrame, dictionary: DataFrame, key: str = "doc_id", text:
         F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
+def _hits_in(group: Sequence[str]) -> Column:
+    return F.size(F.filter("_hits", lambda w: w.isin(*group)))
+
+
 def search_intent(df: DataFrame, text: str = "text", url: str | None = None) -> DataFrame:
     """Intent scores, the leading intent and its confidence.
 
-    One expression per class and strength; the words of one strength never
-    overlap, so their joint count equals the sum of separate counts.
+    The text is cut into words once and only words of some class are kept; each
+    class then counts in that short list. The few phrases of two words are
+    counted by pattern where the text has them.
     """
     low = F.lower(F.col(text))
     address = None
@@ -226,9 +231,16 @@ def search_intent(df: DataFrame, text: str = "text", url: str | None = None) ->
         bare = F.regexp_replace(F.lower(F.col(url)), r"#.*$", "")
         address = F.concat_ws(" ", F.regexp_extract(bare, r"^(?:[a-z][a-z0-9+.\-]*:)?(?://[^/?]*)?([^?]*)", 1),
                               F.regexp_extract(bare, r"\?(.*)$", 1))
+    single = sorted({w for s in INTENT_WORDS.values() for alt in s.values() for w in alt.split("|") if " " not in w})
+    df = df.withColumn("_hits", F.filter(words(text), lambda w: w.isin(single)))
     scores = {}
     for name, strengths in INTENT_WORDS.items():
-        total = sum((F.regexp_count(low, F.lit(rf"(?U)\b({alt})\b")) * w for w, alt in strengths.items()), F.lit(0))
+        total = F.lit(0)
+        for w, alt in strengths.items():
+            plain = [x for x in alt.split("|") if " " not in x]
+            total = total + _hits_in(plain) * w
+            for phrase in (x for x in alt.split("|") if " " in x):
+                total = total + F.when(low.contains(phrase), F.regexp_count(low, F.lit(rf"(?U)\b{phrase}\b"))).otherwise(0) * w
         if address is not None:
             for w, parts in INTENT_URL_PARTS[name].items():
                 total = total + sum((F.when(address.contains(p), w).otherwise(0) for p in parts), F.lit(0))
@@ -242,7 +254,7 @@ def search_intent(df: DataFrame, text: str = "text", url: str | None = None) ->
         intent = F.when(best <= 0, "informational").when(hit, n) if intent is None else intent.when(hit, n)
     confidence = F.when(best <= 0, F.lit(0.0)).otherwise(
         fixed(F.least(best / F.lit(10.0), F.lit(1.0)) * (1 - F.try_divide(second, best) * 0.3), 2))
-    return out.withColumns({"search_intent": intent, "intent_confidence": confidence})
+    return out.withColumns({"search_intent": intent, "intent_confidence": confidence}).drop("_hits")
 
 
 def passive_ratio(c: Column | str) -> Column:

@@ -28,34 +28,37 @@ def issues_long(snapshots: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def issue_impact(issue: str = "issue") -> Column:
-    """Penalty, else lost score, else the first number, else 1."""
+    """Penalty, else lost score, else the first number, else 1.
+
+    A plain text test comes before each pattern, so most patterns are not run.
+    """
     n = issue_numbers(issue)
+    text = F.col(issue)
+    score = F.when(text.contains("Score:"), n["score_value"])
     return F.coalesce(
-        n["penalty_value"],
-        F.when(n["score_value"].isNotNull(), n["score_max"] - n["score_value"]),
-        F.when(n["score_value"].isNull(), n["raw_number"]),
-        F.when(n["score_value"].isNull(), F.lit(1.0)))
+        F.when(text.contains("Penalty:"), n["penalty_value"]),
+        F.when(score.isNotNull(), n["score_max"] - score).otherwise(F.coalesce(n["raw_number"], F.lit(1.0))))
 
 
 def competitor_top_issues(snapshots: DataFrame, pages: DataFrame) -> DataFrame:
     """Issues of a competitor by impact, reach and priority.
 
     The first grouping includes the page, so it reuses the page partitioning of
-    the join and needs no shuffle; what is shuffled later is one row per
-    competitor and issue from each task. Page counts come from that grouping
-    instead of a distinct aggregate.
+    the join. One issue row of each page is marked there; the marks add up to
+    the competitor's page count, so no distinct aggregate and no second pass
+    over the snapshots is needed. The windows at the end run over one row per
+    distinct issue text of a competitor.
     """
     scored = issues_long(snapshots, pages).select(
         "page_url_hash", "competitor_id", issue_key("issue").alias("issue"), issue_impact().alias("impact"))
     per_page = scored.groupBy("page_url_hash", "competitor_id", "issue").agg(
         F.count(F.lit(1)).alias("n"), F.sum("impact").alias("impact"))
-    per_issue = per_page.groupBy("competitor_id", "issue").agg(
+    first = F.row_number().over(Window.partitionBy("page_url_hash", "competitor_id").orderBy("issue")) == 1
+    per_issue = per_page.withColumn("mark", first.cast("int")).groupBy("competitor_id", "issue").agg(
         F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("affected_pages"),
-        F.sum("impact").alias("total_impact"))
-    totals = per_issue.groupBy("competitor_id").agg(F.sum("total_impact").alias("_impact"))
-    reach = (per_page.groupBy("page_url_hash", "competitor_id").agg(F.count(F.lit(1)).alias("_n"))
-             .groupBy("competitor_id").agg(F.count(F.lit(1)).alias("_pages")))
-    metrics = (per_issue.join(totals, "competitor_id").join(reach, "competitor_id")
+        F.sum("impact").alias("total_impact"), F.sum("mark").alias("mark"))
+    whole = Window.partitionBy("competitor_id")
+    metrics = (per_issue.withColumns({"_impact": F.sum("total_impact").over(whole), "_pages": F.sum("mark").over(whole)})
                .withColumn("impact_ratio", fixed(ratio("total_impact", "_impact"), 4))
                .withColumn("coverage_ratio", fixed(ratio("affected_pages", "_pages"), 4))
                .withColumn("priority_score", fixed(
