@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.rules import fixed, label, ratio
 from ..functions.text import issue_key, issue_numbers
 
-_ISSUES = "struct<content_issues:array<string>,on_page_issues:array<string>,technical_issues:array<string>>"
+_ISSUES = "struct<scores:struct<content_issues:array<string>,on_page_issues:array<string>,technical_issues:array<string>>>"
 
 
 def issue_array(seo_flags: str = "seo_flags") -> Column:
     """The three stored issue lists as one array."""
-    lists = F.from_json(F.get_json_object(seo_flags, "$.scores"), _ISSUES)
+    lists = F.from_json(seo_flags, _ISSUES)["scores"]
     empty = F.array().cast("array<string>")
     return F.concat(*[F.coalesce(lists[n], empty) for n in ("content_issues", "on_page_issues", "technical_issues")])
 
@@ -43,17 +43,19 @@ def issue_impact(issue: str = "issue") -> Column:
 def competitor_top_issues(snapshots: DataFrame, pages: DataFrame) -> DataFrame:
     """Issues of a competitor by impact, reach and priority.
 
-    The first grouping includes the page, so it reuses the page partitioning of
-    the join. One issue row of each page is marked there; the marks add up to
-    the competitor's page count, so no distinct aggregate and no second pass
-    over the snapshots is needed. The windows at the end run over one row per
-    distinct issue text of a competitor.
+    Snapshots are reduced to one row per page and issue before they meet the
+    pages, so a page with very many snapshots is spread by issue and stays
+    small in the join. One issue row of each page is then marked; the marks add
+    up to the competitor's page count, so no distinct aggregate and no second
+    pass over the snapshots is needed. The windows at the end run over one row
+    per distinct issue text of a competitor.
     """
-    scored = issues_long(snapshots, pages).select(
-        "page_url_hash", "competitor_id", issue_key("issue").alias("issue"), issue_impact().alias("impact"))
-    per_page = scored.groupBy("page_url_hash", "competitor_id", "issue").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("impact").alias("impact"))
-    first = F.row_number().over(Window.partitionBy("page_url_hash", "competitor_id").orderBy("issue")) == 1
+    long = snapshots.select("page_url_hash", F.explode_outer(issue_array()).alias("issue")).filter(F.col("issue").isNotNull())
+    reduced = (long.select("page_url_hash", issue_key("issue").alias("issue"), issue_impact().alias("impact"))
+               .groupBy("page_url_hash", "issue").agg(F.count(F.lit(1)).alias("n"), F.sum("impact").alias("impact")))
+    owner = pages.select(F.col("url_hash").alias("page_url_hash"), "competitor_id")
+    per_page = reduced.join(owner, "page_url_hash")
+    first = F.row_number().over(Window.partitionBy("page_url_hash").orderBy("issue")) == 1
     per_issue = per_page.withColumn("mark", first.cast("int")).groupBy("competitor_id", "issue").agg(
         F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("affected_pages"),
         F.sum("impact").alias("total_impact"), F.sum("mark").alias("mark"))
