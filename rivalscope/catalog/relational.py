@@ -454,7 +454,7 @@ def _(spark, d):
 @query("agg_13_avg_duration", f"SELECT o_orderstatus, {R('avg((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 1e6)', 2)} AS avg_seconds FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def _(spark, d):
     j = bind(spark, d, "orders").join(bind(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    sec = (F.unix_micros(F.col("l_shipdate").cast("timestamp")) - F.unix_micros(F.col("o_orderdate").cast("timestamp"))) / F.lit(1e6)
+    sec = fr.seconds_between("l_shipdate", "o_orderdate")
     return j.groupBy("o_orderstatus").agg(fixed(F.avg(sec), 2).alias("avg_seconds"))
 
 

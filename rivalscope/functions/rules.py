@@ -22,6 +22,13 @@ def ratio(num: Column | str, den: Column | str) -> Column:
     return F.try_divide(as_col(num).cast("double"), as_col(den).cast("double"))
 
 
+def seconds_between(end: Column | str, start: Column | str) -> Column:
+    """Seconds between two timestamps of the same type, whatever the session time zone."""
+    gap = as_col(end) - as_col(start)
+    parts = {"DAY": 86400.0, "HOUR": 3600.0, "MINUTE": 60.0, "SECOND": 1.0}
+    return sum((F.date_part(F.lit(p), gap).cast("double") * w for p, w in parts.items()), F.lit(0.0))
+
+
 def band(c: Column | str, bands: Sequence[tuple[float, float]], otherwise: float,
          missing: float | None = None) -> Column:
     """Score of the first band whose upper bound holds the value.

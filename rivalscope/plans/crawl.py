@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import fixed, where_optional
+from ..functions.rules import fixed, seconds_between, where_optional
 from ..operators.relational import page, topk
 
 STATUSES = ["queued", "inflight", "retry_scheduled", "failed", "completed"]
@@ -26,12 +26,11 @@ def job_totals(jobs: DataFrame, as_of) -> DataFrame:
     """Totals by status, jobs finished lately and the mean duration, as one row."""
     now = F.lit(as_of) if not hasattr(as_of, "cast") else as_of
     done = F.col("finished_at")
-    micros = (F.unix_micros(done.cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / F.lit(1e6)
     return jobs.agg(
         F.count(F.lit(1)).alias("total"), *_count_status("completed", "queued", "inflight", "failed", "retry_scheduled"),
         F.count_if(done > now - F.expr("INTERVAL 1 HOUR")).alias("last_hour"),
         F.count_if(done > now - F.expr("INTERVAL 24 HOURS")).alias("last_24h"),
-        fixed(F.avg(micros), 4).alias("avg_duration_seconds"))
+        fixed(F.avg(seconds_between(done, "started_at")), 4).alias("avg_duration_seconds"))
 
 
 def domain_totals(jobs: DataFrame, n: int = 50) -> DataFrame:

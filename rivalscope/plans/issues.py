@@ -43,18 +43,20 @@ def issue_impact(issue: str = "issue") -> Column:
 def competitor_top_issues(snapshots: DataFrame, pages: DataFrame) -> DataFrame:
     """Issues of a competitor by impact, reach and priority.
 
-    Snapshots are reduced to one row per page and issue before they meet the
-    pages, so a page with very many snapshots is spread by issue and stays
-    small in the join. One issue row of each page is then marked; the marks add
+    Snapshots are reduced to one row per page and issue text before they meet
+    the pages, so a page with very many snapshots is spread by issue, stays
+    small in the join, and each text is matched against the patterns once. One issue row of each page is then marked; the marks add
     up to the competitor's page count, so no distinct aggregate and no second
     pass over the snapshots is needed. The windows at the end run over one row
     per distinct issue text of a competitor.
     """
     long = snapshots.select("page_url_hash", F.explode_outer(issue_array()).alias("issue")).filter(F.col("issue").isNotNull())
-    reduced = (long.select("page_url_hash", issue_key("issue").alias("issue"), issue_impact().alias("impact"))
-               .groupBy("page_url_hash", "issue").agg(F.count(F.lit(1)).alias("n"), F.sum("impact").alias("impact")))
+    texts = long.groupBy("page_url_hash", "issue").agg(F.count(F.lit(1)).alias("n"))
     owner = pages.select(F.col("url_hash").alias("page_url_hash"), "competitor_id")
-    per_page = reduced.join(owner, "page_url_hash")
+    per_page = (texts.join(owner, "page_url_hash")
+                .select("page_url_hash", "competitor_id", issue_key("issue").alias("issue"), "n",
+                        (issue_impact() * F.col("n")).alias("impact"))
+                .groupBy("page_url_hash", "competitor_id", "issue").agg(F.sum("n").alias("n"), F.sum("impact").alias("impact")))
     first = F.row_number().over(Window.partitionBy("page_url_hash").orderBy("issue")) == 1
     per_issue = per_page.withColumn("mark", first.cast("int")).groupBy("competitor_id", "issue").agg(
         F.sum("n").alias("occurrence_count"), F.count(F.lit(1)).alias("affected_pages"),
