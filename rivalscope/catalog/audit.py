@@ -259,9 +259,9 @@ def _(spark, d):
     return audit.asset_caching(e).select("page_id", "resource_type", "url", "has_cache_control")
 
 
-@query("aud_30_psi_flatten", """SELECT event_id, CAST(round(CAST(CAST(value / 100 AS DECIMAL(18,4)) AS DOUBLE) * 100) AS INTEGER) AS performance_score, CAST(NULL AS INTEGER) AS seo_score, event_type || ' s' AS speed_index, '7' AS total_blocking_time, 'FAST' AS crux_category FROM events WHERE value < 100""")
+@query("aud_30_psi_flatten", """SELECT event_id, CAST(round(CAST(CAST(value / 100 AS DECIMAL(18,4)) AS DOUBLE) * 100) AS INTEGER) AS performance_score, CAST(NULL AS INTEGER) AS seo_score, event_type || ' s' AS speed_index, '7' AS total_blocking_time, 'FAST' AS crux_category FROM events""")
 def _(spark, d):
-    e = bind(spark, d, "events").filter("value < 100")
+    e = bind(spark, d, "events")
     body = F.concat(F.lit('{"lighthouseResult": {"categories": {"performance": {"score": '), F.round(F.col("value") / 100, 4).cast("decimal(18,4)").cast("string"),
                     F.lit('}}, "audits": {"speed-index": {"displayValue": "'), "event_type", F.lit(' s"}, "total-blocking-time": {"numericValue": 7}}}, "loadingExperience": {"overall_category": "FAST"}}'))
     return audit.psi_flatten(e.withColumn("body", body)).select("event_id", "performance_score", "seo_score", "speed_index", "total_blocking_time", "crux_category")

@@ -12,7 +12,7 @@ from ..operators import vectors as vx
 from ..plans import classify
 from ..sources import crawl as src_crawl
 from ..sources import policies, sitemaps
-from . import R, bind, query, with_
+from . import SQL, R, bind, query, with_
 from .relational import _RULES, robots
 
 # ---- URLs ----------------------------------------------------------------
@@ -46,10 +46,9 @@ def _(spark, d):
     return both_urls(spark, d).select("id", fu.url_hash("url").alias("url_hash"), ft.text_hash("url").alias("text_hash"))
 
 
-@query("prj_05_url_id", with_("urls") + r", c AS (SELECT id, lower(regexp_replace(url, ':80/', '/')) AS u FROM urls WHERE url NOT LIKE '%?%' AND url NOT LIKE '%é%') SELECT id, sha1(u) AS url_id FROM c")
+@query("prj_05_url_id", "SELECT id, sha1(url) AS url_id FROM (" + SQL["prj_03_canonical_url"] + ")")
 def _(spark, d):
-    u = bind(spark, d, "urls").filter(~F.col("url").like("%?%") & ~F.col("url").like("%é%"))
-    return u.select("id", fu.url_id("url").alias("url_id"))
+    return both_urls(spark, d).select("id", fu.url_id("url").alias("url_id"))
 
 
 @query("prj_06_host", with_("urls") + f", {_BOTH} SELECT id, {_HOST} AS host FROM b")
@@ -310,12 +309,12 @@ def _(spark, d):
     return duplicate_texts(bind(spark, d, "documents"), "doc_id", "text").withColumnRenamed("first_key", "first_doc")
 
 
-@query("aud_23_minification", r"""WITH l AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '\s')) AS ws, len(string_split(rtrim(text, chr(10)), chr(10))) AS lines FROM documents WHERE text NOT LIKE '%' || chr(13) || '%')
+@query("aud_23_minification", r"""WITH l AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '\s')) AS ws, len(string_split(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n$', ''), chr(10))) AS lines FROM documents)
 SELECT doc_id, (lines = 1 AND n > 500) OR (lines > 1 AND (ws / n < 0.15 OR n / lines > 200)) AS is_minified, """ + R("ws / n", 3) + " AS whitespace_ratio, " + R("n / lines", 1) + " AS avg_line_length FROM l")
 def _(spark, d):
     from ..plans.audit import minification
     m = minification("text")
-    return bind(spark, d, "documents").filter(~F.col("text").contains("\r")).select(
+    return bind(spark, d, "documents").select(
         "doc_id", *[m[n].alias(n) for n in ("is_minified", "whitespace_ratio", "avg_line_length")])
 
 

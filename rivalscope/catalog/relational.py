@@ -351,17 +351,15 @@ def _(spark, d):
     return unseen(bind(spark, d, "customer").select("c_custkey"), bind(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey")), "c_custkey")
 
 
-_AGENTS = ["GPTBot", "CCBot", "ccbot", "Applebot-Extended", "otherbot"]
-
 
 @query("joi_15_missing_agents", "WITH g AS (SELECT DISTINCT user_id AS site, CASE event_type WHEN 'click' THEN 'GPTBot' WHEN 'view' THEN 'CCBot' "
-       "WHEN 'error' THEN 'claudebot' ELSE 'otherbot' END AS a FROM events WHERE value > 60), w AS (SELECT unnest(["
+       "WHEN 'error' THEN 'claudebot' ELSE 'otherbot' END AS a FROM events), w AS (SELECT unnest(["
        + ", ".join(f"'{a}'" for a in policies.RECOMMENDED_AGENTS) + "]) AS missing_agent) SELECT s.site, w.missing_agent FROM (SELECT DISTINCT site FROM g) s "
        "CROSS JOIN w WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.site = s.site AND (g.a = w.missing_agent OR g.a = lower(w.missing_agent)))")
 def _(spark, d):
     agent = (F.when(F.col("event_type") == "click", "GPTBot").when(F.col("event_type") == "view", "CCBot")
              .when(F.col("event_type") == "error", "claudebot").otherwise("otherbot"))
-    return policies.missing_agents(bind(spark, d, "events").filter("value > 60").select(F.col("user_id").alias("site"), agent.alias("user_agent")))
+    return policies.missing_agents(bind(spark, d, "events").select(F.col("user_id").alias("site"), agent.alias("user_agent")))
 
 
 @query("joi_16_regression_max_t", with_("score_history") + S.SERIES + S._TREND + f" SELECT competitor_id, platform, {R('sl', 6)} AS slope, n AS max_t FROM reg")

@@ -295,7 +295,7 @@ def minification(content: Column | str, max_space: float = 0.15, long_mean: int
     """Whether a script or style looks minified: few blanks, long lines, or one long line."""
     text = as_col(content)
     chars = F.length(text)
-    body = F.regexp_replace(text, r"(\r\n|\n|\r)$", "")
+    body = F.regexp_replace(text, r"(\r\n|\n|\r)\z", "")
     lines = F.when(chars > 0, F.size(F.split(body, r"\r\n|\n|\r"))).otherwise(0)
     space = F.coalesce(F.try_divide(F.regexp_count(text, F.lit(r"\s")).cast("double"), chars), F.lit(0.0))
     mean = F.coalesce(F.try_divide(chars.cast("double"), lines), F.lit(0.0))
