@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .line_dedup import line_report
+from .mixing import mixed
 from .quality_rules import quality_rules
 from .sharding import document_shards
 
@@ -19,11 +21,34 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(documents(spark, folder)).drop("times", "source")
+
+
 @query
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(documents(spark, folder))
 
 
+@query
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_report(documents(spark, folder))
+
+
+SQL["op5_line_dedup"] = """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM cut),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+common AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT a.*, c.k IS NOT NULL AND a.doc_id <> c.keeper AS gone FROM keyed a LEFT JOIN common c ON a.k = c.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
 @query
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return document_shards(documents(spark, folder))
