@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, labels
 from .line_dedup import line_report
 from .mixing import mixed
+from .pairwise_quality import quality_scores
 from .quality_rules import quality_rules
+from .secrets import secret_report
 from .sharding import document_shards
+from .toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +34,11 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(documents(spark, folder))
 
 
+@query
+def op4_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(documents(spark, folder), labels(spark, folder))
+
+
 @query
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_report(documents(spark, folder))
@@ -49,6 +57,16 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(documents(spark, folder), labels(spark, folder))
+
+
 @query
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return document_shards(documents(spark, folder))
+
+
+@query
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_report(documents(spark, folder))
