@@ -221,10 +221,12 @@ def _picked(named: DataFrame, plan: DataFrame) -> DataFrame:
     left = (first.groupBy("_pattern").agg(F.sum(F.col("_more") * F.col("size")).alias("taken"))
             .join(plan.select("pattern", (F.col("rest")).alias("_rest")), F.col("_pattern") == F.col("pattern"))
             .select("pattern", (F.col("_rest") - F.col("taken")).alias("left")))
-    last = (first.where("_more = 0 and size > 0").join(left, F.col("_pattern") == left["pattern"])
+    sizes = (first.where("_more = 0 and size > 0").groupBy("_pattern", "size")  # one document for each size of a pattern
+             .agg(F.min(F.struct("_hash", "doc_id")).alias("doc")))
+    last = (sizes.join(left, F.col("_pattern") == left["pattern"])
             .where(F.abs(F.col("left") - F.col("size")) < F.col("left"))
-            .groupBy("_pattern").agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("off"), "_hash", "doc_id", "size")).alias("one"))
-            .select(F.col("_pattern").alias("pattern"), F.col("one._hash").alias("one_hash"), F.col("one.doc_id").alias("one_doc")))
+            .groupBy("_pattern").agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("off"), "doc")).alias("one"))
+            .select(F.col("_pattern").alias("pattern"), F.col("one.doc._hash").alias("one_hash"), F.col("one.doc.doc_id").alias("one_doc")))
     extra = (F.col("_hash") == F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_doc")) & (F.col("_more") == 0)
     done = first.drop("pattern").join(last, F.col("_pattern") == last["pattern"], "left")
     return done.withColumn("times", (F.coalesce(F.col("whole"), F.lit(0)) + F.col("_more")
