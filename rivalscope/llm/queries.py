@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, labels
+from .learned_search import nearest
 from .line_dedup import line_report
 from .mixing import mixed
+from .near_dedup import near_duplicates
 from .pairwise_quality import quality_scores
 from .quality_rules import quality_rules
 from .secrets import secret_report
@@ -24,6 +26,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder), width=2, percent=80)
+
+
 @query
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed(documents(spark, folder)).drop("times", "source")
@@ -62,6 +69,11 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_scores(documents(spark, folder), labels(spark, folder))
 
 
+@query
+def op8_learned_search(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 @query
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return document_shards(documents(spark, folder))
