@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,15 @@ from .line_dedup import line_report
 from .mixing import mixed
 from .near_dedup import near_duplicates
 from .pairwise_quality import quality_scores
+from .pieces import encode_documents, load_pieces
 from .quality_rules import quality_rules
 from .secrets import secret_report
 from .sharding import document_shards
 from .toxicity import toxicity_scores
 
+#: Where the public piece model lies.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -64,6 +69,11 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query
+def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_documents(documents(spark, folder), load_pieces(PIECE_MODEL))
+
+
 @query
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_scores(documents(spark, folder), labels(spark, folder))
