@@ -40,8 +40,6 @@ ship(__name__)
 
 #: Most points compared in one task.
 BLOCK = 20_000
-#: Most queries of a part that meet one block at a time.
-QUERY_BLOCK = 4_000
 
 
 def usable(vector: Column) -> Column:
@@ -66,10 +64,10 @@ def points_of(vectors: DataFrame, k: int) -> DataFrame:
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
     """The ``degree`` points of greatest inner product with each point, itself left out, in blocks."""
     out = np.zeros((len(x), degree), np.int64)
-    for at in range(0, len(x), 1024):
-        s = x[at:at + 1024] @ x.T
-        s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-        out[at:at + 1024] = np.argpartition(-s, degree - 1, axis=1)[:, :degree]
+    for at in range(0, len(x), 128):
+        s = -(x[at:at + 128] @ x.T)
+        s[np.arange(len(s)), np.arange(at, at + len(s))] = np.inf
+        out[at:at + 128] = np.argpartition(s, degree - 1, axis=1)[:, :degree]
     return out
 
 
@@ -202,7 +200,7 @@ def _exact():
     return score
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 20_000, part_share: float = 1.0, probe_share: float = 0.75,
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 10_000, part_share: float = 1.0, probe_share: float = 0.75,
             seed: int = 17) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each id divisible by ``every``."""
     points = stash(points_of(vectors, k), "points")

@@ -120,43 +120,37 @@ def linked(common: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent:
 
 # ------------------------------------------------------------------ sets and classes
 
-def set_prints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, p1, p2) of every row: size and 128-bit fingerprint of its set."""
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n_shingles, p1, p2, keys, sketch) of every row: size and 128-bit fingerprint of its set, band keys, odd sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in chunks(batch.column(1)):
                 sets = shingle_sets(data, offsets, width)
+                values = [min_hashes(x) for x in sets]
                 with np.errstate(over="ignore"):
                     p1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64)
                     p2 = np.array([mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for x in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([len(x) for x in sets], pa.int64()),
-                                                  pa.array(p1.view(np.int64)), pa.array(p2.view(np.int64))], ["doc_id", "n_shingles", "p1", "p2"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, p1 long, p2 long")
-
-
-def signatures(texts: DataFrame, width: int) -> DataFrame:
-    """(id, n, keys, sketch) of rows (id, text)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, to, data, offsets in chunks(batch.column(1)):
-                sets = shingle_sets(data, offsets, width)
-                values = [min_hashes(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array([len(x) for x in sets], pa.int64()),
-                     pa.array([band_keys(v).view(np.int64) for v in values], pa.list_(pa.int64())),
-                     pa.array([odd_sketch(v).tobytes() for v in values], pa.binary())], ["id", "n", "keys", "sketch"])
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, keys array<long>, sketch binary")
+                    [batch.column(0).slice(at, to - at), pa.array([len(x) for x in sets], pa.int64()), pa.array(p1.view(np.int64)),
+                     pa.array(p2.view(np.int64)), pa.array([band_keys(v).view(np.int64) for v in values], pa.list_(pa.int64())),
+                     pa.array([odd_sketch(v).tobytes() for v in values], pa.binary())],
+                    ["doc_id", "n_shingles", "p1", "p2", "keys", "sketch"])
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, p1 long, p2 long, keys array<long>, sketch binary")
 
 
 def full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of rows (id, text): the sorted set as 8-byte numbers."""
+    """(id, shingles) of rows (id, text, p1): the sorted set as 8-byte numbers, for texts whose fingerprint is p1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in chunks(batch.column(1)):
+                sets = shingle_sets(data, offsets, width)
+                with np.errstate(over="ignore"):
+                    prints = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
+                own = np.flatnonzero(prints == np.asarray(batch.column(2).slice(at, to - at)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array([x.tobytes() for x in shingle_sets(data, offsets, width)], pa.binary())],
+                    [batch.column(0).slice(at, to - at).take(pa.array(own)), pa.array([sets[i].tobytes() for i in own], pa.binary())],
                     ["id", "shingles"])
-    return texts.select("id", "text").mapInArrow(run, "id long, shingles binary")
+    return texts.select("id", "text", "p1").mapInArrow(run, "id long, shingles binary")
 
 
 # ------------------------------------------------------------------ links
@@ -186,7 +180,7 @@ def _set_filter(percent: int):
     return same
 
 
-def hub_links(sigs: DataFrame, buckets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def hub_links(sigs: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) of bucket members b with their bucket's hub a."""
     hubs = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     pairs = buckets.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
@@ -194,8 +188,6 @@ def hub_links(sigs: DataFrame, buckets: DataFrame, texts: DataFrame, width: int,
     by_size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     near = _sketch_filter(percent / 100 - SLACK)
     likely = stash(pairs.join(side("a"), "a").join(side("b"), "b").where(by_size).where(near("sa", "sb")).select("a", "b"), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stash(full_sets(texts.join(ids, "id", "left_semi"), width), "sets")
     same = _set_filter(percent)
     both = (likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b"))
@@ -257,7 +249,7 @@ def _block_links(percent: int):
     return search
 
 
-def stray_links(sigs: DataFrame, buckets: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def stray_links(sigs: DataFrame, buckets: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that the hubs could not show, in buckets of several components."""
     named = buckets.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     stats = (named.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.min("component").alias("lo"),
@@ -269,9 +261,8 @@ def stray_links(sigs: DataFrame, buckets: DataFrame, found: DataFrame, texts: Da
         "stray": F.col("component") != F.col("hub_component"), "block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")})
     rows = stash(rows.select("key", "id", "component", "stray", "block", "blocks"), "mixed")
     ids = rows.select("id").distinct()
-    sets = full_sets(texts.join(ids, "id", "left_semi"), width)
     packed = sigs.select("id", _packed_keys()("keys").alias("keys"), "sketch")
-    kept = stash(sets.join(packed, "id"), "kept")
+    kept = stash(sets.join(ids, "id", "left_semi").join(packed, "id"), "kept")
     spread = (rows.withColumn("to", F.when(F.col("stray"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))
               .withColumn("to", F.explode("to")).withColumn("own", F.col("to") == F.col("block")))
     return (spread.join(kept, "id").groupBy("key", "to").applyInPandas(
@@ -287,22 +278,24 @@ def _packed_keys():
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Every row of ``docs`` with n_shingles, component_id and kept."""
-    prints = stash(set_prints(docs, width), "prints")
-    classes = (prints.where("n_shingles > 0 and doc_id is not null").groupBy("p1", "p2", "n_shingles")
-               .agg(F.min("doc_id").alias("id")))
-    classes = stash(classes, "classes")
-    member = stash(prints.join(classes, ["p1", "p2", "n_shingles"], "left").select(
+    signed = stash(signatures(docs, width), "signatures")
+    prints = signed.where("n_shingles > 0 and doc_id is not null")
+    classes = stash(prints.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
+    same_set = ["p1", "p2", "n_shingles"]
+    member = stash(signed.select("doc_id", *same_set).join(classes, same_set, "left").select(
         "doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id")), "member")
-    ids = classes.select("id")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    # A repeated id keeps one of its rows: the one whose set is its class.
-    sigs = stash(signatures(texts.join(ids, "id", "left_semi"), width), "signatures").where("n > 0")
-    buckets = stash(sigs.select("id", "n", F.explode("keys").alias("key")).distinct(), "buckets")
+    sigs = stash(prints.join(classes.hint("merge"), same_set).where("doc_id = id").select(
+        "id", F.col("n_shingles").alias("n"), "p1", "keys", "sketch"), "classed")
+    buckets = sigs.select("id", "n", F.explode("keys").alias("key")).distinct()
     several = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     buckets = stash(buckets.join(several, "key"), "buckets")
-    links = stash(hub_links(sigs, buckets, texts, width, percent), "links")
+    # Sets of bucket members alone. A merge join at every size: the ids grow with the input.
+    near = sigs.select("id", "p1").join(buckets.select("id").distinct(), "id", "left_semi")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    sets = stash(full_sets(texts.join(near.hint("merge"), "id"), width), "sets")
+    links = stash(hub_links(sigs, buckets, sets, percent), "links")
     found = stash(components(links), "components")
-    more = stash(stray_links(sigs, buckets, found, texts, width, percent), "more")
+    more = stash(stray_links(sigs, buckets, found, sets, percent), "more")
     if more.take(1):
         found = stash(components(links.union(more)), "components")
     return member.join(found, "id", "left").select(
