@@ -39,6 +39,13 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/labels.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with more underscores in front where ``df`` has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -38,8 +38,9 @@ from .common import stash
 
 ship(__name__)
 
-#: Most points compared in one task.
+#: Most points compared in one task, and about as many queries.
 BLOCK = 20_000
+QUERY_BLOCK = 20_000
 
 
 def usable(vector: Column) -> Column:
@@ -150,7 +151,7 @@ def _routes(model: tuple[np.ndarray, np.ndarray] | None, probes: int):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def routes(vectors: pd.Series) -> pd.Series:
         if model is None or not len(vectors):
-            return pd.Series([np.zeros(1, np.int32)] * len(vectors))
+            return pd.Series([np.array([-len(v)], np.int32) for v in vectors])
         w, b = model
         out = []
         for v in vectors:
@@ -221,10 +222,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 10_0
     # Equal query vectors are searched once.
     queries = stash(asked.groupBy("vector").agg(F.min("query_id").alias("query"))
                     .withColumn("part", F.explode(_routes(model, probes)("vector"))), "queries")
-    sent = (queries.join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .withColumn("turn", F.lit(0)).select("query", "vector", "part", "block"))
-    held = placed.join(blocks, "part").select("point", "vector", "part", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int").alias("block"))
-    found = (sent.groupBy("part", "block").cogroup(held.groupBy("part", "block"))
+    blocks = blocks.join(queries.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("turns")), "part")
+    sent = queries.join(blocks, "part").select("query", "vector", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                                               F.pmod(F.xxhash64("query"), F.col("turns")).cast("int").alias("turn"))
+    held = placed.join(blocks, "part").select("point", "vector", "part", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int").alias("block"),
+                                              F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+    cells = ["part", "block", "turn"]
+    found = (sent.groupBy(*cells).cogroup(held.groupBy(*cells))
              .applyInPandas(_best(k + 1), "query long, point long, score double"))
     top = found.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("point")).alias("minus"))), asc=False),
                                              1, 2 * k + 2).alias("top"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..shipping import ship
-from .common import SPACES
+from .common import SPACES, unused
 
 ship(__name__)
 
@@ -199,10 +199,10 @@ def _kept_lines(text: str | None, bitmap: bytes | None) -> tuple[list[str], int]
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with a binary column ``_keep``, null where a document loses nothing."""
-    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    return (docs.withColumn("_id", key).join(bitmaps.select(F.col("doc_id").alias("_id"), F.col("keep").alias("_keep")), "_id", "left")
-            .drop("_id"))
+    """``docs`` with one more column, the last: the bitmap, null where a document loses nothing."""
+    own, keep = unused(docs, "_id"), unused(docs, "_keep")
+    named = bitmaps.select(F.col("doc_id").alias(own), F.col("keep").alias(keep))
+    return docs.withColumn(own, F.coalesce(F.col("doc_id"), F.lit(NO_ID))).join(named, own, "left").select(*docs.columns, keep)
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -217,8 +217,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                      for t, k in zip(batch.column(at).to_pylist(), keep, strict=True)]
             columns = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
-    joined = with_bitmaps(docs, bitmaps).select(*docs.columns, "_keep")
-    return joined.mapInArrow(cut, fields)
+    return with_bitmaps(docs, bitmaps).mapInArrow(cut, fields)
 
 
 def line_report(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
@@ -234,4 +233,4 @@ def line_report(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha)],
                                              ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
     joined = with_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, least_chars, least_docs))
-    return joined.select("doc_id", "text", "_keep").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return joined.mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import n_words, stash
+from .common import n_words, stash, unused
 
 ship(__name__)
 
@@ -245,5 +245,5 @@ def mixed(docs: DataFrame, repeats: int = 2, share: float = 1.5, seed: int = 11)
 def take_mix(docs: DataFrame, repeats: int = 2, share: float = 1.5, seed: int = 11) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken. Rows need a distinct ``doc_id``."""
     times = mixed(docs, repeats, share, seed).where("times > 0").select(F.col("doc_id").alias("_id"), "times")
-    again = F.explode(F.sequence(F.lit(1), F.col("times")))
-    return docs.join(times, docs["doc_id"].eqNullSafe(times["_id"])).withColumn("_copy", again).select(*[docs[c] for c in docs.columns])
+    again = F.explode(F.sequence(F.lit(1), times["times"]))
+    return docs.join(times, docs["doc_id"].eqNullSafe(times["_id"])).withColumn(unused(docs, "_copy"), again).select(*[docs[c] for c in docs.columns])

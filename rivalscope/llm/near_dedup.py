@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = stash(prints.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
     same_set = ["p1", "p2", "n_shingles"]
     member = stash(signed.select("doc_id", *same_set).join(classes, same_set, "left").select(
-        "doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("id")), "member")
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id")), "member")
     sigs = stash(prints.join(classes.hint("merge"), same_set).where("doc_id = id").select(
         "id", F.col("n_shingles").alias("n"), "p1", "keys", "sketch"), "classed")
     buckets = sigs.select("id", "n", F.explode("keys").alias("key")).distinct()

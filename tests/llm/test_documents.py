@@ -1,0 +1,451 @@
+"""Text operators against brute force, with empty tables, nulls, ties, repeated rows and clashing columns."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("rivalscope.llm")
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from rivalscope.llm import line_dedup, mixing, near_dedup, pieces, quality_rules, secrets, sharding  # noqa: E402
+from rivalscope.llm.queries import PIECE_MODEL  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ODD_TEXTS = [None, "", " \t\n ", "one", "one two", "Ärger über Öl\nÄrger über Öl", "x" * 5000, "a b " * 4000, "naïve 東京 😀 end\r\n\r\nend"]
+
+
+def low(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def table(spark, rows):
+    """(doc_id, text, lang, source) rows as documents, with columns whose names the operators use themselves."""
+    full = [(i, t, lang, source, len(t or "")) for i, t, lang, source in rows]
+    df = spark.createDataFrame(full, SCHEMA)
+    for name in ("id", "key", "size", "kept", "pattern", "shard", "component", "_keep", "_id", "spans"):
+        df = df.withColumn(name, F.lit(None).cast("string"))
+    return df
+
+
+def corpus(seed, n=120):
+    """Texts with copies, near copies, shared lines and odd cases."""
+    rng = random.Random(seed)
+    vocab = [f"w{k}" for k in range(400)] + ["Der", "und", "Straße", "#", "42"]
+    shared = [" ".join(rng.choice(vocab) for _ in range(14)) for _ in range(3)]
+    texts = list(ODD_TEXTS)
+    while len(texts) < n:
+        kind = rng.random()
+        if kind < 0.2 and len(texts) > 12:
+            texts.append(texts[rng.randrange(9, len(texts))])
+        elif kind < 0.5 and len(texts) > 12:
+            words = (texts[rng.randrange(9, len(texts))] or "").split(" ")
+            for _ in range(rng.randrange(1, 5)):
+                words[rng.randrange(len(words))] = rng.choice(vocab)
+            texts.append(" ".join(words))
+        else:
+            lines = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 6))]
+            lines += [f" {x.upper()} " if rng.random() < 0.5 else x for x in shared if rng.random() < 0.4]
+            rng.shuffle(lines)
+            texts.append("\n".join(lines))
+    return [(k * 3 + 1, t, rng.choice(["en", "de", None]), rng.choice(["a", "b", "b", "ä", None])) for k, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus(4)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return table(spark, rows).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return table(spark, [])
+
+
+# ------------------------------------------------------------------ near-duplicates
+
+def shingles(text, width):
+    words = WORD.findall(low(text))
+    if len(words) < width:
+        return {tuple(words)} if words else set()
+    return {tuple(words[k:k + width]) for k in range(len(words) - width + 1)}
+
+
+def brute_components(rows, width=2, percent=80):
+    sets = {i: shingles(t, width) for i, t, *_ in rows}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates(docs, rows, width):
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs, width).collect()}
+    want = brute_components(rows, width)
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+    assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+def test_near_duplicates_chain(spark):
+    """Each text is near the next one; the ends are far apart. The hub of a bucket alone can't show all links."""
+    words = [f"v{k}" for k in range(150)]
+    chain = [(k, " ".join(words[:100 + 0] if not k else [f"n{k}_{j}" for j in range(4 * k)] + words[4 * k:100]), "en", "a") for k in range(12)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(table(spark, chain), 2).collect()}
+    assert got == brute_components(chain)
+
+
+def test_near_duplicates_odd_tables(spark, none):
+    assert near_dedup.near_duplicates(none).collect() == []
+    twice = table(spark, [(7, "a b c", "en", "a"), (7, "a b c", "en", "a"), (None, "a b c", "en", "a"), (9, "A B C", "en", "a")])
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in near_dedup.near_duplicates(twice, 2).collect())
+    assert got == [(0, 0), (7, 7), (7, 7), (9, 7)]
+
+
+def test_odd_sketch_estimates_high_similarity():
+    rng = np.random.default_rng(1)
+    for share in (0.8, 0.9, 0.97):
+        common, rest = int(2000 * share), int(2000 * (1 - share) / 2)
+        x = rng.integers(0, 1 << 62, common + 2 * rest, dtype=np.int64).view(np.uint64)
+        a, b = (near_dedup.odd_sketch(near_dedup.min_hashes(s)) for s in (x[:common + rest], np.concatenate([x[:common], x[common + rest:]])))
+        bits = near_dedup.xor_counts(a[None], b[None])
+        assert abs(near_dedup.odd_similarity(bits)[0] - share) < 0.13
+
+
+# ------------------------------------------------------------------ mixing
+
+def test_mixing(docs, rows):
+    got = mixing.mixed(docs).collect()
+    again = mixing.mixed(docs.repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    size = {i: len(WORD.findall(t or "")) for i, t, *_ in rows}
+    source = {i: s for i, _, _, s in rows}
+    names = [s for s in ["a", "b", "ä", None] if s in source.values()]
+    total = {s: sum(size[i] for i in size if source[i] == s) for s in names}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    target, left, open_ = {}, 1.5 * sum(total.values()), list(names)
+    while True:
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 2 * total[s]]
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2.0 * total[s]
+            left -= target[s]
+            open_.remove(s)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == total[source[r["doc_id"]]]
+        assert math.isclose(r["target"], target[source[r["doc_id"]]], rel_tol=1e-9)
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    for s in names:
+        taken = sum(r["taken"] for r in got if source[r["doc_id"]] == s)
+        assert abs(taken - target[s]) <= max(size[i] for i in size if source[i] == s)
+
+
+def test_mixing_odd_tables(spark, none):
+    assert mixing.mixed(none).collect() == []
+    twice = table(spark, [(1, "a b", "en", "a"), (1, "a b", "en", "a"), (2, None, "en", None)])
+    assert sorted((r["doc_id"], r["size"]) for r in mixing.mixed(twice).collect()) == [(1, 2), (1, 2), (2, 0)]
+    empty = table(spark, [(1, None, None, None), (2, "", None, "a")])
+    assert {r["taken"] for r in mixing.mixed(empty).collect()} == {0}
+
+
+def test_flow_is_cheapest():
+    """Least repetition among all plans of greatest size, by trying every plan."""
+    rng = random.Random(2)
+    for _ in range(30):
+        patterns = [(rng.randrange(1, 4), tuple(sorted(rng.sample(range(2), rng.randrange(1, 3))))) for _ in range(3)]
+        quotas = [rng.randrange(0, 7), rng.randrange(0, 7)]
+        flow = mixing.cheapest_flow(patterns, quotas, 2)
+        used = [sum(v for (p, _), v in flow.items() if p == k) for k in range(3)]
+        cost = sum(max(0, u - n) for u, (n, _) in zip(used, patterns, strict=True))
+        best = None
+        options = [range(2 * n + 1) for n, _ in patterns]
+        for plan in itertools.product(*options):
+            for split in itertools.product(*[range(u + 1) if len(s) == 2 else [u if s == (0,) else 0] for u, (_, s) in zip(plan, patterns, strict=True)]):
+                first = sum(split)
+                if first <= quotas[0] and sum(plan) - first <= quotas[1]:
+                    value = (-sum(plan), sum(max(0, u - n) for u, (n, _) in zip(plan, patterns, strict=True)))
+                    best = value if best is None else min(best, value)
+        assert (-sum(used), cost) == best
+
+
+# ------------------------------------------------------------------ quality rules
+
+def brute_measures(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = [tuple(words[k:k + 3]) for k in range(len(words) - 2)]
+    seen = {}
+    for w in windows:
+        seen[w] = seen.get(w, 0) + 1
+    inside = {k + j for k, w in enumerate(windows) if seen[w] > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)),
+            "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(inside)}
+
+
+def brute_quality(rows, class_limit=0.15, word_limit=0.2, slack=1.0, least_reference=1000):
+    """doc_id to kept, from the definition."""
+    per = {}
+    for i, t, lang, _ in rows:
+        t = t or ""
+        m = brute_measures(t)
+        words = WORD.findall(t)
+        upper, digit = sum(map(str.isupper, t)), len(re.findall("[0-9]", t))
+        mark = len(re.findall(r"[.,;:!?'\"()\-]", t))
+        classes = [len(t) - m["word_chars"], upper, digit, mark, m["n_symbols"], m["word_chars"] - upper - digit - mark - m["n_symbols"]]
+        listed = quality_rules.COMMON_WORDS.get(lang)
+        common = [sum(w in (c, c.capitalize()) for w in words) for c in listed] if listed else None
+        per[i] = (lang, m, classes, common)
+
+    def distance(a, b):
+        if not sum(a) or not sum(b):
+            return 0.0
+        p, q = np.array(a) / sum(a), np.array(b) / sum(b)
+        half = (p + q) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return math.sqrt(max(0.0, (np.nansum(p * np.log2(p / half)) + np.nansum(q * np.log2(q / half))) / 2))
+    kept = {}
+    for i, (lang, m, classes, common) in per.items():
+        n = m["n_words"]
+        same = [x for x in per.values() if x[0] == lang]
+        total = sum(x[1]["n_words"] for x in same)
+        fails = n < 50 or 100 * m["n_repeat_words"] > 50 * n
+        far = False
+        if total >= least_reference and n:
+            room = slack / math.sqrt(n)
+            far = distance(classes, np.sum([x[2] for x in same], axis=0)) > class_limit + room
+            if common:
+                sums = np.sum([x[3] for x in same], axis=0).tolist()
+                far |= distance([*common, n - sum(common)], [*sums, total - sum(sums)]) > word_limit + room
+        kept[i] = not fails and not far
+    return kept
+
+
+def test_quality_rules(docs, rows):
+    got = {r["doc_id"]: r.asDict() for r in quality_rules.quality_rules(docs).collect()}
+    assert len(got) == len(rows)
+    for i, t, *_ in rows:
+        want = brute_measures(t)
+        assert {k: got[i][k] for k in want} == want
+        assert got[i]["base_failed"] == (want["n_words"] < 50 or 100 * want["n_repeat_words"] > 50 * want["n_words"])
+    assert {i: r["kept"] for i, r in got.items()} == brute_quality(rows)
+
+
+def test_quality_rules_reject_a_strange_text(spark):
+    rng = random.Random(1)
+    words = ["the", "of", "house", "river", "walked", "and", "green", "in", "stone", "to", "Paul", "Ann"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(200)), "en", "a") for k in range(30)]
+    rows.append((99, " ".join(f"{rng.randrange(9999)};%{k}" for k in range(200)), "en", "a"))
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(table(spark, rows)).collect()}
+    assert got == {k: k != 99 for k in got} == brute_quality(rows)
+
+
+def test_quality_rules_empty(none):
+    assert quality_rules.quality_rules(none).collect() == []
+
+
+# ------------------------------------------------------------------ line dedup
+
+def brute_lines(rows):
+    key = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for i, t, *_ in rows:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 40:
+                holders.setdefault(key(x), set()).add(i)
+    out = {}
+    for i, t, *_ in rows:
+        lines = (t or "").split("\n")
+        keep = [x for x in lines if len(holders.get(key(x), ())) < 5 or i == max(holders[key(x)])]
+        out[i] = (len(lines), len(lines) - len(keep), "\n".join(keep))
+    return out
+
+
+def test_line_dedup(docs, rows):
+    want = brute_lines(rows)
+    assert sum(d for _, d, _ in want.values()) > 20
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_dedup.line_report(docs).collect()}
+    assert got == {i: (n, d, hashlib.sha256(t.encode()).hexdigest()) for i, (n, d, t) in want.items()}
+    bitmaps = line_dedup.keep_bitmaps(docs)
+    cut = line_dedup.apply_bitmaps(docs, bitmaps)
+    assert cut.columns == docs.columns
+    assert {r["doc_id"]: r["text"] or "" for r in cut.collect()} == {i: t for i, (_, _, t) in want.items()}
+    for r in bitmaps.collect():
+        assert (~line_dedup.unpack(r["keep"])).sum() == want[r["doc_id"]][1]
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 7, 40])
+def test_line_dedup_across_task_borders(docs, rows, partitions):
+    got = line_dedup.dropped_lines(docs, partitions=partitions).count()
+    assert got == sum(d for _, d, _ in brute_lines(rows).values())
+
+
+def test_line_dedup_odd_tables(spark, none):
+    assert line_dedup.line_report(none).collect() == []
+    line = "this line has more than forty characters in it"
+    five = [(k, line, "en", "a") for k in range(5)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_report(table(spark, five)).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
+    four = table(spark, five[:4] + five[:1])  # a repeated row is no further document
+    assert {r["n_dropped"] for r in line_dedup.line_report(four).collect()} == {0}
+
+
+# ------------------------------------------------------------------ pieces
+
+@pytest.fixture(scope="module")
+def model():
+    return pieces.load_pieces(PIECE_MODEL)
+
+
+def all_paths(word, model):
+    """Every segmentation (score, ids)."""
+    if not word:
+        return [(0, [])]
+    out = []
+    for k in range(1, min(len(word), model.longest) + 1):
+        found = model.ids.get(word[:k])
+        if found:
+            out += [(found[1] + s, [found[0], *rest]) for s, rest in all_paths(word[k:], model)]
+        elif k == 1:
+            own = [model.byte_ids[b] for b in word[0].encode()]
+            out += [(model.unknown + s, [*own, *rest]) for s, rest in all_paths(word[1:], model)]
+    return out
+
+
+@pytest.mark.parametrize("word", ["a", "▁the", "▁seven", "straßen", "東京x", "▁▁in", "😀a"])
+def test_n_best_of_a_word(model, word):
+    want = sorted(all_paths(word, model), key=lambda p: -p[0])
+    got = pieces.n_best_paths(word, model, 6)
+    assert [s for s, _ in got] == [s for s, _ in want[:6]]
+    assert len({tuple(ids) for _, ids in got}) == len(got)
+    assert all((s, ids) in want for s, ids in got)
+
+
+def test_n_best_of_texts(spark, model):
+    rows = [(k, t, "en", "a") for k, t in enumerate(["the end", "a b\nc", "in a 東 box", "", None, "  two  gaps ", "aa aa aa"])]
+    for r in pieces.encode_documents(table(spark, rows), model, 5).collect():
+        text = rows[r["doc_id"]][1] or ""
+        lists = [sorted(all_paths(w, model), key=lambda p: -p[0])[:5] for w in pieces.words_of(text)]
+        want = sorted((sum(s for s, _ in c) for c in itertools.product(*lists)), reverse=True)[:5]
+        assert r["scores"] == want
+        paths = [pieces.path_ids(r["ids"], [c.asDict() for c in change]) for change in r["changes"]]
+        assert len({tuple(p) for p in [r["ids"], *paths]}) == len(r["scores"])
+        assert all(pieces.decode_ids(p, model.bytes_of) == text for p in [r["ids"], *paths])
+
+
+def test_round_trip(spark, docs, rows, model, none):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    encoded = pieces.encode_documents(docs, model)
+    got = encoded.collect()
+    assert len(got) == len(rows) and all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in got)
+    text = {i: t or "" for i, t, *_ in rows}
+    assert {r["doc_id"]: r["text"] for r in pieces.decode_documents(encoded, model).collect()} == text
+    assert all(library.decode(r["ids"]) == text[r["doc_id"]] for r in got if text[r["doc_id"]][:1] != " ")
+    assert pieces.encode_documents(none, model).collect() == []
+
+
+# ------------------------------------------------------------------ sharding
+
+def test_sharding(docs, rows, none):
+    got = sharding.document_shards(docs).collect()
+    assert sorted(map(str, got)) == sorted(map(str, sharding.document_shards(docs.repartition(6)).collect()))
+    text = {i: (t or "").encode() for i, t, *_ in rows}
+    slots = {}
+    for r in got:
+        assert (r["size"], r["text_crc32"]) == (len(text[r["doc_id"]]) + 8, zlib.crc32(text[r["doc_id"]]))
+        assert r["law"] == "rows" and r["grown_shard"] is None
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert set(slots) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert sharding.document_shards(none).collect() == []
+
+
+def test_sharding_repeated_rows(spark):
+    got = sharding.document_shards(table(spark, [(1, None, "en", "a")] * 30 + [(None, "x", "en", "a")] * 30), 7).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(7) for k in range(9 if s < 4 else 8)]
+
+
+def test_sharding_is_uniform(spark):
+    """Each row meets each shard equally often over seeds: chi-square of the first rows' shards."""
+    hits = np.zeros(4)
+    for seed in range(400):
+        m = sharding.communication_matrix([5, 1, 6], [3, 3, 3, 3], seed)
+        assert m.sum(axis=0).tolist() == [3, 3, 3, 3] and m.sum(axis=1).tolist() == [5, 1, 6]
+        hits[m[1].argmax()] += 1
+    assert ((hits - 100) ** 2 / 100).sum() < 16.3
+
+
+# ------------------------------------------------------------------ secrets
+
+def brute_spans(text):
+    text = text or ""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m.group(2)) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    return sorted(out)
+
+
+def secret_rows():
+    rng = random.Random(8)
+    plain = ["we", "met", "near", "the", "Übergang", "token", "of", "thanks", "secret", "garden", "東京", "deadbeef"]
+    texts = list(ODD_TEXTS)
+    for k in range(80):
+        words = [rng.choice(plain) for _ in range(40)]
+        value = "".join(rng.choice("abcdefXYZ0189+/_") for _ in range(rng.randrange(4, 20)))
+        words[rng.randrange(40)] = rng.choice([f"password = {value}", f'"API_KEY": "{value}"', "AKIA" + "Q7" * 8, "0af3" * rng.randrange(5, 9),
+                                              f"token={value}", "AKIAQ", "plain"])
+        texts.append(" ".join(words))
+    texts.append("paſsword = abcdef123 toKen=abcdef123")  # letters beyond A-Z have no case here
+    return [(k, t, "en", "a") for k, t in enumerate(texts)]
+
+
+def test_secrets(spark, none):
+    rows = secret_rows()
+    for r in secrets.secret_report(table(spark, rows).repartition(3)).collect():
+        want = brute_spans(rows[r["doc_id"]][1])
+        named = [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want]
+        assert r["base_sha256"] == hashlib.sha256(",".join(named).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for _, k, _ in want) for x in range(3)]
+        assert set(named) <= set(r["spans"].split(","))
+    assert secrets.secret_report(none).collect() == []
+    plain = secrets.secret_report(table(spark, [(1, "no match", "en", "a"), (1, "no match", "en", "a")])).collect()
+    assert [r["spans"] for r in plain] == ["", ""]
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 7))
+        move = rng.normal(size=(3, 3)) * 2
+        move[secrets.O, secrets.I] = secrets.NEVER
+        model = secrets.Field(np.zeros(0), np.zeros(0), move)
+        nodes = rng.normal(size=(n, 3)) * 3 - [0, 3, 3]
+        got = secrets.viterbi_tags(model, nodes, np.zeros(n, int), np.full(n, n))
+        score = lambda p: sum(move[a, b] for a, b in itertools.pairwise([0, *p, 0])) + sum(nodes[k, t] for k, t in enumerate(p))
+        assert math.isclose(score(got.tolist()), max(map(score, itertools.product(range(3), repeat=n))), abs_tol=1e-6)
