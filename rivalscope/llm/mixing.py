@@ -39,6 +39,8 @@ ship(__name__)
 WEIGHTS = (3, 1, 2)
 #: Bits of the hash histogram that finds the cut.
 CELL_BITS = 12
+#: Parts that the sizes of one pattern are dealt over.
+SALTS = 32
 
 
 # ------------------------------------------------------------------ targets
@@ -220,10 +222,10 @@ def _picked(named: DataFrame, plan: DataFrame) -> DataFrame:
     # One more document, the one whose size is nearest to what is left, if that brings the pattern nearer.
     left = (first.groupBy("_pattern").agg(F.sum(F.col("_more") * F.col("size")).alias("taken"))
             .join(plan.select("pattern", (F.col("rest")).alias("_rest")), F.col("_pattern") == F.col("pattern"))
-            .select("pattern", (F.col("_rest") - F.col("taken")).alias("left")))
+            .select("pattern", (F.col("_rest") - F.col("taken")).alias("left"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part")))
     sizes = (first.where("_more = 0 and size > 0").groupBy("_pattern", "size")  # one document for each size of a pattern
-             .agg(F.min(F.struct("_hash", "doc_id")).alias("doc")))
-    last = (sizes.join(left, F.col("_pattern") == left["pattern"])
+             .agg(F.min(F.struct("_hash", "doc_id")).alias("doc")).withColumn("_part", F.pmod(F.xxhash64("size"), F.lit(SALTS)).cast("int")))
+    last = (sizes.join(left, (F.col("_pattern") == left["pattern"]) & (F.col("_part") == left["part"]))
             .where(F.abs(F.col("left") - F.col("size")) < F.col("left"))
             .groupBy("_pattern").agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("off"), "doc")).alias("one"))
             .select(F.col("_pattern").alias("pattern"), F.col("one.doc._hash").alias("one_hash"), F.col("one.doc.doc_id").alias("one_doc")))
