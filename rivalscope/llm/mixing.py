@@ -245,7 +245,7 @@ def mixed(docs: DataFrame, repeats: int = 2, share: float = 1.5, seed: int = 11)
 
 
 def take_mix(docs: DataFrame, repeats: int = 2, share: float = 1.5, seed: int = 11) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken. Rows need a distinct ``doc_id``."""
-    times = mixed(docs, repeats, share, seed).where("times > 0").select(F.col("doc_id").alias("_id"), "times")
+    """The mix itself: every row of ``docs`` as often as it is taken; rows that share a doc_id go by the one taken most."""
+    times = mixed(docs, repeats, share, seed).where("times > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("times"))
     again = F.explode(F.sequence(F.lit(1), times["times"]))
     return docs.join(times, docs["doc_id"].eqNullSafe(times["_id"])).withColumn(unused(docs, "_copy"), again).select(*[docs[c] for c in docs.columns])

@@ -7,9 +7,9 @@ whole text; neighbouring tags score too, and I may follow B or I alone. Spans ar
 the tags of the Viterbi path.
 
 Training is weakly supervised: the base patterns tag a sample of at most
-``sample`` documents (smallest seeded hashes of the id), and windows around their
-matches and a few windows elsewhere are fitted by gradient ascent on the
-likelihood. The sample's bound is a parameter; all documents are decoded, whole.
+``sample`` documents (smallest seeded hashes of the id); of the windows around their
+matches and in the middle of each text, at most four times ``sample`` (smallest
+seeded hashes) are fitted by gradient ascent on the likelihood. The sample's bound is a parameter; all documents are decoded, whole.
 
 A Viterbi path is O wherever B and I score below O by more than any neighbour can
 give back. Only the tokens between such places are decoded, many stretches at a
@@ -229,7 +229,8 @@ def training_windows(docs: DataFrame, sample: int, seed: int, around: int = 6) -
                                                               ("tags", pa.list_(pa.int32())), ("any", pa.bool_())]))
     found = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
              .mapInArrow(cut, "shape array<int>, file int, tags array<int>, any boolean"))
-    return [r.asDict() for r in found.limit(4 * sample).collect()]
+    order = F.xxhash64(F.lit(seed), "shape", "file", "tags")
+    return [r.asDict() for r in found.orderBy(order, "shape", "file", "tags").limit(4 * sample).collect()]
 
 
 def fit_field(windows: list[dict], rounds: int = 60, rate: float = 0.3, decay: float = 1e-3) -> Field | None:
