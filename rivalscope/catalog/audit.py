@@ -249,8 +249,7 @@ def _(spark, d):
     return out.select("event_id", "content_encoding", "hsts", F.array_join("cdns", ",").alias("cdns"))
 
 
-@query("aud_22_asset_caching", """SELECT * FROM (SELECT user_id AS page_id, CASE WHEN event_type IN ('click', 'view') THEN 'css' ELSE 'image' END AS resource_type, 'u' || event_id AS url, value > 50 AS has_cache_control,
-row_number() OVER (PARTITION BY user_id, event_type IN ('click', 'view') ORDER BY 'u' || event_id) AS rn FROM events) WHERE rn <= 10""".replace("SELECT * FROM", "SELECT page_id, resource_type, url, has_cache_control FROM"))
+@query("aud_22_asset_caching", """SELECT user_id AS page_id, CASE WHEN event_type IN ('click', 'view') THEN 'css' ELSE 'image' END AS resource_type, 'u' || event_id AS url, value > 50 AS has_cache_control FROM events""")
 def _(spark, d):
     e = bind(spark, d, "events").select(
         F.col("user_id").alias("page_id"), F.when(F.col("event_type").isin("click", "view"), "css").otherwise("image").alias("resource_type"),

@@ -38,12 +38,20 @@ def _(spark, d):
 @query("src_05_resolve_sitemaps", """WITH RECURSIVE edges AS (SELECT 'r' || r_regionkey AS parent, 'n' || n_nationkey AS child
 FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
 walk AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS url, 0 AS depth, CAST(NULL AS VARCHAR) AS parent FROM region
-UNION ALL SELECT w.root, e.child, w.depth + 1, e.parent FROM walk w JOIN edges e ON e.parent = w.url) SELECT * FROM walk""")
+UNION ALL SELECT w.root, e.child, w.depth + 1, e.parent FROM walk w JOIN edges e ON e.parent = w.url) SELECT * FROM walk
+UNION ALL SELECT 'p1', 'p' || p_partkey, CAST(length(bin(p_partkey)) - 1 AS INTEGER), CASE WHEN p_partkey > 1 THEN 'p' || (p_partkey // 2) END
+FROM part WHERE p_partkey >= 1""")
 def _(spark, d):
-    r, n, s = (bind(spark, d, t) for t in ("region", "nation", "supplier"))
+    r, n, s, p = (bind(spark, d, t) for t in ("region", "nation", "supplier", "part"))
     edges = n.select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child")).unionByName(
         s.select(F.concat(F.lit("n"), "s_nationkey").alias("parent"), F.concat(F.lit("s"), "s_suppkey").alias("child")))
-    return sitemaps.resolve_sitemaps(r.select(F.concat(F.lit("r"), "r_regionkey").alias("url")), edges, max_depth=3)
+    # A part's file is listed by that of half its key; every seventh lists its own parent again.
+    half, own = F.concat(F.lit("p"), F.expr("p_partkey div 2")), F.concat(F.lit("p"), "p_partkey")
+    p = p.where("p_partkey > 1")
+    edges = edges.unionByName(p.select(half.alias("parent"), own.alias("child"))).unionByName(
+        p.where("p_partkey % 7 = 0").select(own.alias("parent"), half.alias("child")))
+    seeds = r.select(F.concat(F.lit("r"), "r_regionkey").alias("url")).unionByName(spark.range(1).select(F.lit("p1").alias("url")))
+    return sitemaps.resolve_sitemaps(seeds, edges)
 
 
 _ROBOTS_SQL = r"""WITH robots AS (SELECT doc_id AS site, regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13), ' '),
@@ -181,16 +189,23 @@ def _(spark, d):
 
 # ---- projections ---------------------------------------------------------
 
-@query("prj_01_normalize_text", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS norm FROM documents")
+#: SQL of a text without accents, in lower case; the letters that strip_accents keeps are written out here.
+_PLAIN = "lower(strip_accents({}))"
+for _kept, _out in zip("ßœæøłđħıþ", ["ss", "oe", "ae", "o", "l", "d", "h", "i", "th"], strict=True):
+    _PLAIN = f"replace({_PLAIN}, '{_kept}', '{_out}')"
+_NATION_TEXT = "'É  ' || n_name || ' ç ŒæßØł'"
+
+
+@query("prj_01_normalize_text", f"SELECT doc_id, trim(regexp_replace({_PLAIN.format('text')}, '\\s+', ' ', 'g')) AS norm FROM documents")
 def _(spark, d):
     return bind(spark, d, "documents").select("doc_id", ft.normalize_text("text").alias("norm"))
 
 
-@query("udf_01_normalize_text_sql", "SELECT n_nationkey, lower(strip_accents('É  ' || n_name || ' ç')) AS raw, "
-       "trim(regexp_replace(lower(strip_accents('É  ' || n_name || ' ç')), '\\s+', ' ', 'g')) AS norm FROM nation")
+@query("udf_01_normalize_text_sql", f"SELECT n_nationkey, {_PLAIN.format(_NATION_TEXT)} AS raw, "
+       f"trim(regexp_replace({_PLAIN.format(_NATION_TEXT)}, '\\s+', ' ', 'g')) AS norm FROM nation")
 def _(spark, d):
     ft.register_sql_functions(spark)
-    df = bind(spark, d, "nation").withColumn("t", F.concat(F.lit("É  "), "n_name", F.lit(" ç")))
+    df = bind(spark, d, "nation").withColumn("t", F.concat(F.lit("É  "), "n_name", F.lit(" ç ŒæßØł")))
     return df.select("n_nationkey", F.lower(ft.unaccent("t")).alias("raw"), F.expr("normalize_text(t)").alias("norm"))
 
 

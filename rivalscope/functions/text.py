@@ -22,15 +22,23 @@ def _accent_table() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _accent_table()
+# Letters without decomposition and their plain form.
+STROKED = {"Ø": "O", "ø": "o", "Ł": "L", "ł": "l", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h", "ı": "i"}
+LIGATURES = {"Œ": "OE", "œ": "oe", "Æ": "AE", "æ": "ae", "ß": "ss", "ẞ": "SS", "Þ": "TH", "þ": "th"}
+_FROM, _TO = ACCENTED + "".join(STROKED), PLAIN + "".join(STROKED.values())
 
 
 def unaccent(c: Column | str) -> Column:
-    return F.translate(as_col(c), ACCENTED, PLAIN)
+    """Accented and stroked letters made plain, ligatures written out."""
+    out = as_col(c)
+    for letter, plain in LIGATURES.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return F.translate(out, _FROM, _TO)
 
 
 def ascii_fold(c: Column | str) -> Column:
     """Accents removed, other non-ASCII characters dropped."""
-    return F.regexp_replace(unaccent(c), r"[^\x00-\x7F]", "")
+    return F.regexp_replace(F.translate(as_col(c), ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
 
 
 def normalize_text(c: Column | str, accents: bool = True) -> Column:
@@ -39,10 +47,13 @@ def normalize_text(c: Column | str, accents: bool = True) -> Column:
     return F.trim(F.regexp_replace(F.lower(base), r"\s+", " "))
 
 
+_WRITTEN_OUT = "input"
+for _letter, _plain in LIGATURES.items():
+    _WRITTEN_OUT = f"replace({_WRITTEN_OUT}, '{_letter}', '{_plain}')"
 #: Body of the same rule as a SQL function, inlined by Catalyst.
 NORMALIZE_TEXT_SQL = (
     "CREATE OR REPLACE TEMPORARY FUNCTION normalize_text(input STRING) RETURNS STRING RETURN "
-    f"trim(regexp_replace(lower(translate(input, '{ACCENTED}', '{PLAIN}')), '\\\\s+', ' '))"
+    f"trim(regexp_replace(lower(translate({_WRITTEN_OUT}, '{_FROM}', '{_TO}')), '\\\\s+', ' '))"
 )
 
 

@@ -72,13 +72,11 @@ def words(c: Column | str) -> Column:
 
 def keyword_tokens(c: Column | str, min_length: int, stop: bool = True, unicode: bool = False) -> Column:
     """Words of a-z and 0-9 in order (any letters with ``unicode``), without stopwords and short words."""
-    stops = F.array(*[F.lit(w) for w in STOPWORDS])
-
     def keep(w: Column) -> Column:
         ok = F.length(w) >= min_length
         if not unicode:
             ok = ok & w.rlike("^[a-z0-9]+$")
-        return ok & ~F.array_contains(stops, w) if stop else ok
+        return ok & ~w.isin(list(STOPWORDS)) if stop else ok
 
     return F.filter(words(c), keep)
 
@@ -88,8 +86,8 @@ def _steps(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(empty)
 
 
-def top_counts(tokens: Column, n: int) -> Column:
-    """The n most frequent values of an array as (neg, token), most frequent first, ties by value.
+def top_counts(tokens: Column, n: int | None = None) -> Column:
+    """The n most frequent values of an array (all without n) as (neg, token), most frequent first, ties by value.
 
     The array is sorted and the lengths of its runs are read off, so the cost is
     that of one sort per row and no shuffle takes place.
@@ -100,7 +98,8 @@ def top_counts(tokens: Column, n: int) -> Column:
         return bind_once(starts, lambda b: F.transform(b, lambda start, j: F.struct(
             (start - F.coalesce(F.get(b, j + 1), size)).alias("neg"), F.get(s, start).alias("token"))))
 
-    return F.slice(F.array_sort(bind_once(F.array_sort(tokens), runs)), 1, n)
+    counts = F.array_sort(bind_once(F.array_sort(tokens), runs))
+    return counts if n is None else F.slice(counts, 1, n)
 
 
 def _ranked(df: DataFrame, key: str, top: Column, name: str) -> DataFrame:

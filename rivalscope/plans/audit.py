@@ -279,8 +279,8 @@ def header_features(responses: DataFrame, headers: str = "headers") -> DataFrame
         "last_modified": val("last-modified"), "cdns": cdn_flags("_h"), "uses_cdn": F.size(cdn_flags("_h")) > 0}).drop("_h")
 
 
-def asset_caching(assets: DataFrame, most: int | None = 10, key: str = "page_id", headers: str = "headers") -> DataFrame:
-    """Cache headers of the first assets of each type on a page (all assets when ``most`` is None)."""
+def asset_caching(assets: DataFrame, most: int | None = None, key: str = "page_id", headers: str = "headers") -> DataFrame:
+    """Cache headers of the assets of each page; with ``most``, of the first so many of each type."""
     a = assets if most is None else top_n_per_group(assets, [key, "resource_type"], [F.asc("url")], most).drop("rank")
     h = lower_keys(headers)
 

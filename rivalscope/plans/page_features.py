@@ -89,7 +89,7 @@ def title_features(keyword: str | None = None, least: int = 20, most: int = 70)
     has = text.isNotNull()
     n = F.coalesce(F.length(text), F.lit(0))
     pixels = F.coalesce(pixel_width(text), F.lit(0))
-    twice = F.filter(top_counts(F.filter(words(F.coalesce(text, F.lit(""))), lambda w: F.length(w) > 2), 1000),
+    twice = F.filter(top_counts(F.filter(words(F.coalesce(text, F.lit(""))), lambda w: F.length(w) > 2)),
                      lambda t: t["neg"] < -1)
     at = F.locate(keyword.lower(), F.lower(text)) if keyword else F.lit(0)
     return {
@@ -239,7 +239,7 @@ def social_meta() -> dict[str, Column]:
 
 def legacy_html() -> dict[str, Column]:
     old = F.filter("els", lambda e: e["tag"].isin(DEPRECATED_TAGS))
-    counts = top_counts(F.transform(old, lambda e: e["tag"]), 100)
+    counts = top_counts(F.transform(old, lambda e: e["tag"]))
     flash = F.exists("els", lambda e: (
         e["tag"].isin("object", "embed") & F.coalesce(attr(e, "type").rlike("(?i)application/x-shockwave-flash"), F.lit(False)))
         | ((e["tag"] == "object") & F.coalesce(attr(e, "classid").rlike("(?i)clsid:D27CDB6E-AE6D-11cf-96B8-444553540000"), F.lit(False))))

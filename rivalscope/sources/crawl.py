@@ -27,9 +27,16 @@ _LINK = "struct<url:string,href:string>"
 
 
 def parse_crawl_results(raw: DataFrame, body: str = "value") -> DataFrame:
-    """JSON texts with ``event`` and ``result`` to typed columns; texts that do not parse give NULL results."""
+    """JSON texts with ``event`` and ``result`` to typed columns, with ``received_at`` where present; see :func:`rejected_texts`."""
     parsed = F.from_json(F.col(body), f"struct<event:string,result:{CRAWL_RESULT}>")
-    return raw.select(parsed["event"].alias("event"), parsed["result"].alias("r")).filter(F.col("r.url").isNotNull())
+    own = [c for c in raw.columns if c == "received_at"]
+    return raw.select(parsed["event"].alias("event"), parsed["result"].alias("r"), *own).filter(F.col("r.url").isNotNull())
+
+
+def rejected_texts(raw: DataFrame, body: str = "value") -> DataFrame:
+    """The rows that :func:`parse_crawl_results` leaves out: no JSON of the kind, or no result URL."""
+    parsed = F.from_json(F.col(body), f"struct<event:string,result:{CRAWL_RESULT}>")
+    return raw.filter(parsed["result"]["url"].isNull())
 
 
 def _by_kind(index: int) -> Column:
@@ -42,23 +49,23 @@ def ingest_crawl_results(parsed: DataFrame, received_at: Column) -> dict[str, Da
 
     Every derived list is a projection of its own payload row; nothing is grouped.
     """
-    r = parsed.select("event", "r.*").withColumns({
+    r = parsed.select("event", "r.*", received_at.alias("_at")).withColumns({
         "url_hash": url_hash("url"), "domain": normalize_domain("domain")})
-    own = r.select("url_hash", "url", "domain", _by_kind(0).alias("page_type"), received_at.alias("seen_at"))
+    own = r.select("url_hash", "url", "domain", _by_kind(0).alias("page_type"), F.col("_at").alias("seen_at"))
     homepage = r.filter(F.col("event") == "crawl_result").select(
-        "domain", F.explode("homepage_urls").alias("url_class", "urls")).select(
-        "domain", "url_class", F.explode("urls").alias("url"))
+        "domain", "_at", F.explode("homepage_urls").alias("url_class", "urls")).select(
+        "domain", "_at", "url_class", F.explode("urls").alias("url"))
     linked = homepage.select(url_hash("url").alias("url_hash"), "url", normalize_domain(url_host("url")).alias("domain"),
-                             F.lit("unknown").alias("page_type"), received_at.alias("seen_at"))
+                             F.lit("unknown").alias("page_type"), F.col("_at").alias("seen_at"))
     snapshots = r.select("url_hash", "status_code", "final_url", "title",
                          F.to_json(F.struct(F.get_json_object("seo_report", "$.scores").alias("scores"))).alias("seo_flags"),
-                         received_at.alias("created_at"))
+                         F.col("_at").alias("created_at"))
     prod = F.from_json("product", _PRODUCT)
     products = (r.filter((F.col("event") == "product_scrape_result") & F.col("product").isNotNull())
                 .select("url_hash", "domain", prod["title"].alias("title"), parse_price(prod["price"]).alias("current_price"),
-                        F.coalesce(prod["in_stock"], F.lit(True)).alias("in_stock"), received_at.alias("last_updated_at")))
+                        F.coalesce(prod["in_stock"], F.lit(True)).alias("in_stock"), F.col("_at").alias("last_updated_at")))
     jobs = r.select("url", "domain", F.lit("completed").alias("status"),
-                    F.coalesce("job_type", _by_kind(1)).alias("job_type"), received_at.alias("finished_at"))
+                    F.coalesce("job_type", _by_kind(1)).alias("job_type"), F.col("_at").alias("finished_at"))
     item = F.col("item")
     link = F.from_json(item, _LINK)
     listed = (r.filter(F.col("event") == "product_list_scrape_result").select("domain", F.explode("products").alias("item"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import as_col
+from ..session import ensure_checkpoint_dir
 
 _ENTRY = "struct<loc:string,lastmod:string,changefreq:string,priority:string>"
 
@@ -44,24 +43,25 @@ def sitemap_children(files: DataFrame, source: str = "sitemap_url", text: str =
             .select("parent", F.trim("child").alias("child")).filter(F.col("child") != ""))
 
 
-def resolve_sitemaps(seeds: DataFrame, edges: DataFrame, max_depth: int = 5, max_sitemaps: int | None = None) -> DataFrame:
-    """Every file reachable from a seed, with root, shortest depth and one parent.
+def resolve_sitemaps(seeds: DataFrame, edges: DataFrame, max_sitemaps: int | None = None) -> DataFrame:
+    """Every file reachable from a seed, with root, shortest depth and smallest parent there.
 
-    ``seeds`` has column url, ``edges`` has parent and child. One hash join per
-    level; index files nest two or three levels in practice. ``max_sitemaps``
-    keeps that many files per root, nearest first.
+    ``seeds`` has column url, ``edges`` has parent and child. Each level joins
+    the last one's files with their edges and leaves out what was seen before,
+    until nothing new is found; a level is checkpointed, so lineage stays short.
+    ``max_sitemaps`` keeps that many files per root, nearest first.
     """
-    step = edges.select(F.col("parent").alias("url"), F.col("child"))
+    ensure_checkpoint_dir(edges.sparkSession)
+    step = edges.select(F.col("parent").alias("url"), "child")
     level = seeds.select(F.col("url").alias("root"), "url", F.lit(0).alias("depth"),
-                         F.lit(None).cast("string").alias("parent")).distinct()
-    levels = [level]
-    for _ in range(max_depth):
-        level = (levels[-1].join(step, "url").select(
-            "root", F.col("child").alias("url"), (F.col("depth") + 1).alias("depth"), F.col("url").alias("parent"))
-            .dropDuplicates(["root", "url"]))
-        levels.append(level)
-    reached = reduce(DataFrame.unionByName, levels)
-    out = reached.groupBy("root", "url").agg(F.min(F.struct("depth", "parent")).alias("_m")).select("root", "url", "_m.*")
+                         F.lit(None).cast("string").alias("parent")).distinct().checkpoint()
+    out = level
+    while level.take(1):
+        new = level.join(step, "url").select("root", F.col("child").alias("url"), F.col("depth") + 1, F.col("url").alias("parent")).toDF(
+            "root", "url", "depth", "parent")
+        level = (new.join(out.select("root", "url"), ["root", "url"], "left_anti")
+                 .groupBy("root", "url").agg(F.min("depth").alias("depth"), F.min("parent").alias("parent")).checkpoint())
+        out = out.unionByName(level)
     if max_sitemaps is None:
         return out
     w = Window.partitionBy("root").orderBy("depth", "url")

@@ -119,6 +119,8 @@ class JobStateProcessor(StatefulProcessor):
             at = r.ts.to_pydatetime()
             if job is None:
                 job = dict(domain=r.domain, status=None, retries=0, last_error=None, updated_at=at, due_at=None)
+            if at < job["updated_at"]:  # came late: newer state stands
+                continue
             if r.event == "failed":
                 self._fail(job, r.error, at)
             else:

@@ -16,7 +16,7 @@ from ..functions.urls import canonical_url, url_id
 from ..operators.relational import latest_by
 from ..sinks.upserts import upsert_pages
 from ..sinks.writers import overwrite
-from ..sources.crawl import ingest_crawl_results, parse_crawl_results
+from ..sources.crawl import ingest_crawl_results, parse_crawl_results, rejected_texts
 
 SCHEMAS = {
     "web_pages": "url_hash string, url string, domain string, page_type string, seen_at timestamp, batch bigint",
@@ -25,17 +25,19 @@ SCHEMAS = {
     "snapshots": "url_hash string, status_code int, final_url string, title string, seo_flags string, "
                  "created_at timestamp, batch bigint",
     "jobs": "url string, domain string, status string, job_type string, finished_at timestamp, batch bigint",
+    "rejects": "value string, received_at timestamp, batch bigint",
     "seeds": "url_id string, url string, job_type string, priority int, batch bigint",
 }
 
 
 def write_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     """One micro-batch (JSON texts in ``value``, optionally ``received_at``) to all tables."""
-    now = batch.agg(F.max("received_at").alias("t")).scalar() if "received_at" in batch.columns else F.current_timestamp()
+    now = F.col("received_at") if "received_at" in batch.columns else F.current_timestamp()
     out = ingest_crawl_results(parse_crawl_results(batch), now)
     seeds = out["next_urls"].select(url_id("url").alias("url_id"), canonical_url("url").alias("url"), "job_type", "priority")
     parts = {"web_pages": out["pages"], "products": out["products"], "snapshots": out["snapshots"], "jobs": out["jobs"],
-             "seeds": seeds.filter(F.col("url_id").isNotNull()).dropDuplicates(["url_id"])}
+             "seeds": seeds.filter(F.col("url_id").isNotNull()).dropDuplicates(["url_id"]),
+             "rejects": rejected_texts(batch).select(F.col("value").cast("string").alias("value"), now.alias("received_at"))}
     for name, df in parts.items():
         overwrite(df, f"{root}/{name}/batch={batch_id}")
 
@@ -75,4 +77,4 @@ def compact(spark: SparkSession, root: str, name: str, up_to: int, out_root: str
     rows = read_rows(spark, root, name)
     overwrite(rows.filter(F.col("batch") <= up_to).drop("batch"), f"{out_root}/{name}/batch=0")
     newer = rows.filter(F.col("batch") > up_to)
-    newer.write.mode("append").partitionBy("batch").parquet(f"{out_root}/{name}")
+    newer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out_root}/{name}")

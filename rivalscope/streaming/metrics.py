@@ -58,13 +58,14 @@ def served_while_banned(df: DataFrame, proxy: str, ts: str, failed: Column, minu
 
     A RANGE frame over event time replaces an interval join, so a proxy with
     many failures does not multiply rows. Long series of a proxy are cut into
-    day buckets, with the ban time of the previous day copied in front.
+    day buckets; a failure is copied in front of every later day its ban reaches.
     """
     span, day = minutes * 60_000_000, 86_400_000_000
     base = (df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
             .withColumn("_day", F.floor(F.col("_t") / day)).withColumn("_copy", F.lit(False)))
-    late = failed & (F.pmod(F.col("_t"), F.lit(day)) >= day - span)
-    head = base.filter(late).withColumns({"_day": F.col("_day") + 1, "_copy": F.lit(True)})
+    reach = F.floor((F.pmod(F.col("_t"), F.lit(day)) + span - 1) / day)
+    head = (base.filter(failed & (reach >= 1)).withColumn("_step", F.explode(F.sequence(F.lit(1).cast("bigint"), reach)))
+            .withColumns({"_day": F.col("_day") + F.col("_step"), "_copy": F.lit(True)}).drop("_step"))
     w = Window.partitionBy(proxy, "_day").orderBy("_t").rangeBetween(-span + 1, -1)
     return (base.unionByName(head).withColumn("recent_failures", F.count(F.when(failed, F.lit(1))).over(w))
             .filter(~F.col("_copy") & (F.col("recent_failures") > 0)).drop("_t", "_day", "_copy"))

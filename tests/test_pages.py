@@ -110,5 +110,5 @@ def test_meta_fallback_product(spark):
 def test_asset_caching_limit(spark):
     rows = [(1, "css", f"u{i}", 200, {"ETag": "x"}) for i in range(15)]
     a = spark.createDataFrame(rows, "page_id int, resource_type string, url string, status_code int, headers map<string,string>")
-    assert audit.asset_caching(a).count() == 10
-    assert audit.asset_caching(a, None).filter(F.col("has_etag")).count() == 15
+    assert audit.asset_caching(a, 10).count() == 10
+    assert audit.asset_caching(a).filter(F.col("has_etag")).count() == 15
