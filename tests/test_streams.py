@@ -53,6 +53,24 @@ def test_job_state(spark, folder):
     assert last["a"].due_at == at(15) and last["c"].status == "failed" and last["c"].due_at is None
 
 
+def test_late_event_keeps_newer_state(spark, folder):
+    schema = "url_id string, domain string, event string, ts timestamp, error string, n int"
+    batches = [[("a", "d", "completed", at(100), None, 1)], [("a", "d", "inflight", at(50), None, 2)]]
+    out = run(frontier.job_state(stream_of(spark, folder, batches, schema)), folder, "update", spark)
+    assert {r.status for r in out if r.url_id == "a"} == {"completed"}
+
+
+def test_rejected_texts_and_repeated_compaction(spark, folder):
+    text = '{"event": "crawl_result", "result": {"url": "https://a.example/x", "domain": "a.example"}}'
+    for i, body in enumerate([text, "no json", text.replace("/x", "/y")]):
+        ingest.write_batch(spark.createDataFrame([(body, at(i))], "value string, received_at timestamp"), i, f"{folder}/out")
+    assert [r.value for r in ingest.read_rows(spark, f"{folder}/out", "rejects").collect()] == ["no json"]
+    for _ in range(2):
+        ingest.compact(spark, f"{folder}/out", "web_pages", 1, f"{folder}/small")
+        pages = ingest.read_rows(spark, f"{folder}/small", "web_pages").collect()
+        assert sorted((r.url, r.seen_at) for r in pages) == [("https://a.example/x", at(0)), ("https://a.example/y", at(2))]
+
+
 def test_lease_expiry_by_timer(spark, folder):
     schema = "url_id string, domain string, event string, ts timestamp, error string, n int"
     batches = [[("a", "d", "inflight", at(0), None, 1)], [("z", "d", "queued", at(5000), None, 2)], [("z", "d", "queued", at(5001), None, 3)]]
