@@ -12,13 +12,15 @@
    the queries of a part with one block, in double precision, and keeps the best
    ``k + 1`` of each query. The best over all blocks are ranked again on the vectors.
 
-The number of parts grows with the square root of the number of points.
-Measured recall against brute force is given in the README.
+The number of parts grows with the square root of the number of points, up to one
+part for eight sampled vectors; the partitions are learned at every size that has
+two parts (64 points). A query takes further parts, in order, while those it has
+hold ``k`` points or fewer. Measured recall against brute force is given in the README.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite parts take
 no part, as candidates or as queries; so do null ids; vectors of another length
 than most meet only vectors of their own length; with fewer than ``k`` candidates
-a query gets all of them where few points exist (all parts are then probed);
+a query gets all of them (all parts are then probed);
 repeated rows of one id are one candidate; an empty table gives no rows; extra
 columns take no part.
 """
@@ -146,8 +148,20 @@ def learn_partitions(x: np.ndarray, parts: int, seed: int, degree: int = 10) ->
 
 # ------------------------------------------------------------------ search
 
-def _routes(model: tuple[np.ndarray, np.ndarray] | None, probes: int):
-    """A function column: the likeliest parts of each vector."""
+def learned(points: DataFrame, n: int, sample: int, part_share: float, seed: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The router over ``n`` points; None where they are too few for two parts."""
+    parts = int(part_share * math.sqrt(n)) // 4
+    if parts < 2:
+        return None
+    chosen = points.select("point", "vector").orderBy(F.xxhash64(F.lit(seed), "point"), "point").limit(sample).collect()
+    width = pd.Series([len(r["vector"]) for r in chosen]).mode()[0]
+    x = np.array([r["vector"] for r in chosen if len(r["vector"]) == width])
+    parts = min(parts, len(x) // 8)
+    return learn_partitions(x, parts, seed) if parts > 1 else None
+
+
+def _routes(model: tuple[np.ndarray, np.ndarray] | None, probes: int, sizes: np.ndarray | None = None, least: int = 0):
+    """A function column: the likeliest parts of each vector; given the parts' sizes, as many as hold ``least`` points."""
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def routes(vectors: pd.Series) -> pd.Series:
         if model is None or not len(vectors):
@@ -160,7 +174,9 @@ def _routes(model: tuple[np.ndarray, np.ndarray] | None, probes: int):
                 out.append(np.array([-len(v)], np.int32))
                 continue
             z = v / np.linalg.norm(v) @ w + b
-            out.append(np.argsort(-z, kind="stable")[:probes].astype(np.int32))
+            order = np.argsort(-z, kind="stable").astype(np.int32)
+            enough = 0 if sizes is None else int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1
+            out.append(order[:max(probes, enough)])
         return pd.Series(out)
     return routes
 
@@ -206,22 +222,19 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 10_0
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each id divisible by ``every``."""
     points = stash(points_of(vectors, k), "points")
     n = points.count()
-    parts = max(1, int(part_share * math.sqrt(n)) // 4)
-    probes = max(1, math.ceil(probe_share * parts))
-    model = None
-    if parts > 1 and n > 1000:
-        chosen = points.select("point", "vector").orderBy(F.xxhash64(F.lit(seed), "point"), "point").limit(sample).collect()
-        width = pd.Series([len(r["vector"]) for r in chosen]).mode()[0]
-        x = np.array([r["vector"] for r in chosen if len(r["vector"]) == width])
-        if len(x) > 4 * parts:
-            model = learn_partitions(x, parts, seed)
+    model = learned(points, n, sample, part_share, seed)
+    parts = 1 if model is None else len(model[1])
+    probes = math.ceil(probe_share * parts)
     placed = stash(points.withColumn("part", F.get(_routes(model, 1)("vector"), F.lit(0))), "placed")
+    sizes = np.zeros(parts, np.int64)
+    for r in placed.where("part >= 0").groupBy("part").count().collect():
+        sizes[r["part"]] = r["count"]
     blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     asked = (vectors.where(F.col("vec_id").isNotNull() & (F.col("vec_id") % every == 0) & usable(F.col("embedding")))
              .select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0)).alias("vector")).distinct())
     # Equal query vectors are searched once.
     queries = stash(asked.groupBy("vector").agg(F.min("query_id").alias("query"))
-                    .withColumn("part", F.explode(_routes(model, probes)("vector"))), "queries")
+                    .withColumn("part", F.explode(_routes(model, probes, sizes, k + 1)("vector"))), "queries")
     blocks = blocks.join(queries.groupBy("part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("turns")), "part")
     sent = queries.join(blocks, "part").select("query", "vector", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
                                                F.pmod(F.xxhash64("query"), F.col("turns")).cast("int").alias("turn"))

@@ -103,6 +103,36 @@ def test_search_odd_vectors(spark):
     assert learned_search.nearest(frame.limit(0)).collect() == []
 
 
+def learned_recall(frame, monkeypatch):
+    """Share of the true neighbours found, by learned partitions of which no query probes all."""
+    models, real = [], learned_search.learned
+    monkeypatch.setattr(learned_search, "learned", lambda *a: models.append(real(*a)) or models[-1])
+    got = {}
+    for r in learned_search.nearest(frame).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(models) == 1 and models[0] is not None and len(models[0][1]) > math.ceil(0.75 * len(models[0][1])) > 1
+    want = brute_nearest({r["vec_id"]: r["embedding"] for r in frame.collect()})
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    return sum(len(got[q] & {i for i, _ in rows}) for q, rows in want.items()) / (20 * len(want))
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_search_recall_of_learned_partitions(spark, monkeypatch, size):
+    recall = learned_recall(spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet"), monkeypatch)
+    print(f"recall on {size}: {recall:.4f}")
+    assert 0.9 <= recall
+
+
+def test_search_recall_on_a_larger_table(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 32))
+    x = (centres[rng.integers(0, 40, 12_000)] + rng.normal(size=(12_000, 32))).astype(np.float32)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    recall = learned_recall(frame, monkeypatch)
+    print(f"recall on 12,000 seeded vectors: {recall:.4f}")
+    assert recall >= 0.9
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline(spark):
