@@ -31,7 +31,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,10 +55,10 @@ def points_of(vectors: DataFrame, k: int) -> DataFrame:
     """(point, vector, ids): one row for each distinct vector, named by its smallest id, with the smallest k + 1 ids."""
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("vector")).distinct()
-    # Ids are cut to k + 1 per salt first, so that a hot vector's copies don't meet in one task.
-    salted = rows.groupBy("vector", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(
-        F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    return (salted.groupBy("vector").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    # Ids are cut to k + 1 per salt first, by a rank that Spark limits before the shuffle: no list holds a hot vector's copies.
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    few = salted.withColumn("at", F.row_number().over(Window.partitionBy("vector", "salt").orderBy("vec_id"))).where(F.col("at") <= k + 1)
+    return (few.groupBy("vector").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
             .select(F.get("ids", F.lit(0)).alias("point"), "vector", "ids"))
 
 

@@ -133,6 +133,15 @@ def test_search_recall_on_a_larger_table(spark, monkeypatch):
     assert recall >= 0.9
 
 
+def test_search_points_of_hot_vector(spark):
+    rows = [(k, [1.0, 2.0]) for k in range(500)] + [(k, [float(k), 1.0]) for k in range(500, 520)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    points = learned_search.points_of(frame, 5)
+    got = {r["point"]: r["ids"] for r in points.collect()}
+    assert got == {0: list(range(6)), **{k: [k] for k in range(500, 520)}}
+    assert "WindowGroupLimit" in points._jdf.queryExecution().toString()  # ids are cut before any list of them
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline(spark):
