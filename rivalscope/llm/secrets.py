@@ -6,17 +6,19 @@ key words), the shapes of two words before and one after, and on features of the
 whole text; neighbouring tags score too, and I may follow B or I alone. Spans are
 the tags of the Viterbi path.
 
-Training is weakly supervised: the base patterns tag a sample of at most
-``sample`` documents (smallest seeded hashes of the id); of the windows around their
-matches and in the middle of each text, at most four times ``sample`` (smallest
-seeded hashes) are fitted by gradient ascent on the likelihood. The sample's bound is a parameter; all documents are decoded, whole.
+Training is weakly supervised: the base patterns first mark every document that has
+a match. At most ``sample`` documents are fitted, by smallest seeded hashes of the
+id: up to half of them from those with a match, the others from those without. Of the
+windows around matches and at one seeded place of each text, at most four times
+``sample`` (those without a secret, at most one a text, then smallest seeded hashes) are fitted by
+gradient ascent on the likelihood. The sample's bound is a parameter; all documents are decoded, whole.
 
 A Viterbi path is O wherever B and I score below O by more than any neighbour can
 give back. Only the tokens between such places are decoded, many stretches at a
 time; the path is the same as that of the whole chain.
 
-Defined cases: null text is empty and has no spans; no matches in the sample means
-no model and base spans alone; a text is one chain however long it is; repeated
+Defined cases: null text is empty and has no spans; no match in any document means
+no model and no spans, which a warning tells; a text is one chain however long it is; repeated
 rows get equal spans; an empty table gives no rows; extra columns take no part.
 """
 
@@ -24,6 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import chunks, lowered, span_hashes, word_spans
+from .common import chunks, lowered, span_hashes, stash, word_spans
 
 ship(__name__)
 
@@ -193,9 +197,27 @@ def _text_bounds(first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 # ------------------------------------------------------------------ training
 
+def matched(docs: DataFrame) -> DataFrame:
+    """(doc_id, found): whether a base pattern matches, for every row."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, data, offsets in chunks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([bool(x) for x in base_spans(data, offsets)])],
+                                                 ["doc_id", "found"])
+    return docs.select("doc_id", "text").mapInArrow(mark, "doc_id long, found boolean")
+
+
 def training_windows(docs: DataFrame, sample: int, seed: int, around: int = 6) -> list[dict]:
     """Shapes, file feature and tags of windows in the sampled documents."""
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
+    order = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
+    marked = stash(matched(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("found").alias("found")), "matched")
+    having = marked.where("found").orderBy(*order).limit(max(1, sample // 2)).select("doc_id")
+    n = having.count()
+    if not n:
+        if marked.take(1):
+            warnings.warn("no document matches a base pattern: no conditional random field is fitted, no spans are found", stacklevel=2)
+        return []
+    ids = stash(having.union(marked.where("not found").orderBy(*order).limit(sample - n).select("doc_id")), "fitted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +229,7 @@ def training_windows(docs: DataFrame, sample: int, seed: int, around: int = 6) -
                     lo, hi = int(first_word[i]), int(first_word[i + 1])
                     tags = np.zeros(hi - lo, np.int8)
                     s, e = starts[lo:hi] - offsets[i], ends[lo:hi] - offsets[i]
-                    places = [(hi - lo) // 2] if hi > lo else []
+                    places = [zlib.crc32(b"%d %d" % (seed, hi - lo) + data[offsets[i]:offsets[i + 1]].tobytes()) % (hi - lo)] if hi > lo else []
                     for a, _, b in spans:
                         x, y = int(np.searchsorted(e, a, "right")), int(np.searchsorted(s, b, "left"))
                         if not tags[x:y].any():
@@ -230,7 +252,7 @@ def training_windows(docs: DataFrame, sample: int, seed: int, around: int = 6) -
     found = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
              .mapInArrow(cut, "shape array<int>, file int, tags array<int>, any boolean"))
     order = F.xxhash64(F.lit(seed), "shape", "file", "tags")
-    return [r.asDict() for r in found.orderBy(order, "shape", "file", "tags").limit(4 * sample).collect()]
+    return [r.asDict() for r in found.orderBy("any", order, "shape", "file", "tags").limit(4 * sample).collect()]
 
 
 def fit_field(windows: list[dict], rounds: int = 60, rate: float = 0.3, decay: float = 1e-3) -> Field | None:
