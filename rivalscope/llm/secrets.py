@@ -159,9 +159,10 @@ def viterbi_tags(model: Field, nodes: np.ndarray, first: np.ndarray, last: np.nd
         return tags
     move = model.move
     gain = nodes[:, 1:] - nodes[:, :1]
-    # What a path can win back around one token: moves, and its follower's change from I to B.
+    # What a path can win back around one token: the moves into it, to its follower and, as the
+    # follower changes from I to B, on from there; and that change itself.
     finite = move[move > NEVER / 2]
-    back = 2 * (finite.max() - finite.min()) + max(0.0, float((nodes[:, I] - nodes[:, B]).max())) + 1e-6
+    back = 3 * (finite.max() - finite.min()) + max(0.0, float((nodes[:, I] - nodes[:, B]).max())) + 1e-6
     active = gain.max(axis=1) > -back
     at = np.flatnonzero(active)
     if not len(at):

@@ -447,6 +447,15 @@ def test_secret_fit_finds_rare_matches(spark):
         assert secrets.training_windows(docs.where("doc_id <> 150"), 10, 5) == []
 
 
+def test_viterbi_keeps_a_weak_token_inside_a_long_span():
+    move = np.array([[0.0, -4, secrets.NEVER], [0, -4, -4], [-4, -4, 4]])
+    for n in (9, 11, 15):
+        nodes = np.array([[0.0, 1, 1]] * n)
+        nodes[n // 2, 1:] = -20
+        got = secrets.viterbi_tags(secrets.Field(np.zeros(0), np.zeros(0), move), nodes, np.zeros(n, int), np.full(n, n))
+        assert got.tolist() == [secrets.B] + [secrets.I] * (n - 1)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     for _ in range(200):
