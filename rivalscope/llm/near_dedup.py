@@ -12,14 +12,15 @@
    over ``SLACK`` below the threshold, five standard deviations.
 4. Pairs that pass are confirmed on their full sets. Links give components.
 5. Buckets that still hold several components are searched once more: each member
-   outside the hub's component against the whole bucket, in blocks, by sketch and
+   outside the hub's component against the whole bucket, in blocks and turns, by sketch and
    full set, in the first bucket that a pair shares. So no link between two
    members of a bucket is lost, and no pairs are written but links.
 6. Components over all links; the smallest document id names a component.
 
 Hot buckets: hubs and members meet in joins that Spark can split; step 5 cuts a
-bucket in blocks of bounded size, and only members outside the hub's component
-are repeated. In a bucket where these are many, that step is quadratic in them.
+bucket in blocks and the members outside the hub's component in turns, both of
+bounded size; a task holds one turn and one block. Members are repeated for each
+turn, those outside also for each block. In a bucket where these are many, that step is quadratic in them.
 
 Defined cases: null or empty text, or one without words, has no shingles and is
 linked with nothing; with fewer words than a shingle the whole sequence is the
@@ -45,7 +46,7 @@ ship(__name__)
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 1024
 SLACK = 0.18
-#: Shingles in a block of step 5.
+#: Shingles in a block and in a turn of step 5.
 BLOCK_SHINGLES = 500_000
 _SEEDS = np.random.default_rng(20240501).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -219,7 +220,7 @@ def _block_links(percent: int):
     most = most_odd_bits(percent / 100 - SLACK)
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links between the bucket's stray members and the block, in the first bucket a pair shares."""
+        """Links between the turn's stray members and the block, in the first bucket a pair shares."""
         ids, comps = rows["id"].to_numpy(), rows["component"].to_numpy()
         keys = np.stack([np.frombuffer(x, np.int64) for x in rows["keys"]])
         sketches = np.stack([np.frombuffer(x, np.uint64) for x in rows["sketch"]])
@@ -228,9 +229,9 @@ def _block_links(percent: int):
         bound = np.concatenate([[0], np.cumsum(sizes)])
         flat = np.concatenate(sets)
         place = int(np.flatnonzero((keys == rows["key"].iloc[0]).all(axis=0))[0])
-        mine, stray = rows["own"].to_numpy(), np.flatnonzero(rows["stray"].to_numpy())
+        mine, asked = rows["own"].to_numpy(), np.flatnonzero(rows["asks"].to_numpy())
         out_a, out_b = [], []
-        for q in stray:
+        for q in asked:
             cand = mine & (comps != comps[q]) & ((ids < ids[q]) | ~rows["stray"].to_numpy())
             cand &= 100 * np.minimum(sizes, sizes[q]) >= percent * np.maximum(sizes, sizes[q])
             at = np.flatnonzero(cand)
@@ -257,15 +258,22 @@ def stray_links(sigs: DataFrame, buckets: DataFrame, found: DataFrame, sets: Dat
              .where("members > 2 and lo <> hi")
              .select("key", F.col("hub.component").alias("hub_component"), F.col("hub.id").alias("hub"),
                      F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks")))
-    rows = named.join(stats, "key").where("id <> hub").withColumns({
-        "stray": F.col("component") != F.col("hub_component"), "block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")})
-    rows = stash(rows.select("key", "id", "component", "stray", "block", "blocks"), "mixed")
+    rows = named.join(stats, "key").where("id <> hub").withColumn("stray", F.col("component") != F.col("hub_component"))
+    turns = (rows.where("stray").groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("turns")))
+    rows = rows.join(turns, "key").withColumns({
+        "block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "turn": F.pmod(F.xxhash64(F.lit(1), "id"), F.col("turns")).cast("int")})
+    rows = stash(rows.select("key", "id", "component", "stray", "block", "blocks", "turn", "turns"), "mixed")
     ids = rows.select("id").distinct()
     packed = sigs.select("id", _packed_keys()("keys").alias("keys"), "sketch")
     kept = stash(sets.join(ids, "id", "left_semi").join(packed, "id"), "kept")
-    spread = (rows.withColumn("to", F.when(F.col("stray"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block")))
-              .withColumn("to", F.explode("to")).withColumn("own", F.col("to") == F.col("block")))
-    return (spread.join(kept, "id").groupBy("key", "to").applyInPandas(
+    # A member meets every turn in its block; a stray one asks in its turn every block. Cells of both are one row.
+    member = F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda t: F.struct(F.col("block").alias("at"), t.alias("by")))
+    asking = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(b.alias("at"), F.col("turn").alias("by")))
+    cells = F.when(F.col("stray"), F.array_union(member, asking)).otherwise(member)
+    spread = (rows.withColumn("cell", F.explode(cells)).select(
+        "key", "id", "component", "stray", "cell.at", "cell.by", (F.col("cell.at") == F.col("block")).alias("own"),
+        (F.col("stray") & (F.col("cell.by") == F.col("turn"))).alias("asks")))
+    return (spread.join(kept, "id").groupBy("key", "at", "by").applyInPandas(
         _block_links(percent), "a long, b long").distinct())
 
 

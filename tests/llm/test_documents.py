@@ -400,6 +400,31 @@ def test_sharding_is_uniform(spark):
     assert ((hits - 100) ** 2 / 100).sum() < 16.3
 
 
+def test_near_dedup_stray_cells_are_bounded_and_whole(spark, monkeypatch):
+    # One bucket key for all: 60 documents in pairs of near-duplicates, strays but for the hub's pair.
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(4)
+    rows = []
+    for pair in range(30):
+        common = rng.integers(1, 1 << 62, 95, dtype=np.uint64)
+        for k in range(2):
+            own = np.sort(np.concatenate([common, rng.integers(1, 1 << 62, 5, dtype=np.uint64)]))
+            rows.append((2 * pair + k, 100, bytearray(own.tobytes())))
+    sets = spark.createDataFrame([(i, x) for i, _, x in rows], "id long, shingles binary")
+    sigs = spark.createDataFrame([(i, n, [7] + [1000 * i + k for k in range(31)], bytearray(128)) for i, n, _ in rows],
+                                 "id long, n long, keys array<long>, sketch binary")
+    buckets = sigs.select("id", "n", F.lit(7).cast("long").alias("key"))
+    found = spark.createDataFrame([(0, 0), (1, 0)], "id long, component long")
+    want = {(2 * k, 2 * k + 1) for k in range(1, 30)}
+    for size in (500_000, 1_000):
+        monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", size)
+        links = near_dedup.stray_links(sigs, buckets, found, sets, 80).collect()
+        assert {(min(r), max(r)) for r in links} == want
+    monkeypatch.setattr(near_dedup, "_block_links", lambda _: lambda rows: rows.iloc[:1].assign(a=len(rows), b=0)[["a", "b"]])
+    sizes = [r["a"] for r in near_dedup.stray_links(sigs, buckets, found, sets, 80).collect()]
+    assert max(sizes) <= 35  # a turn and a block of about 10 documents each, of 60
+
+
 # ------------------------------------------------------------------ secrets
 
 def brute_spans(text):
