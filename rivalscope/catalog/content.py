@@ -167,6 +167,14 @@ def _(spark, d):
     return classify.discover_urls(e, h)
 
 
+@query("cls_08_discover_urls_whole", """SELECT l_suppkey AS site, l_partkey AS url_no, 'sitemap' AS source FROM lineitem UNION ALL
+SELECT c_custkey, c_custkey, 'homepage' FROM customer WHERE c_custkey NOT IN (SELECT l_suppkey FROM lineitem)""")
+def _(spark, d):
+    e = bind(spark, d, "lineitem").select(F.col("l_suppkey").alias("site"), F.col("l_partkey").alias("url_no"))
+    h = bind(spark, d, "customer").select(F.col("c_custkey").alias("site"), F.col("c_custkey").alias("url_no"))
+    return classify.discover_urls(e, h)
+
+
 @query("set_05_seed_union", with_("urls") + f", {_BOTH}, {_CLASSED} SELECT url, CASE WHEN url_class IN ('product', 'category') THEN 'extract_product_list' ELSE 'extract_page_content' END AS job_type, "
        "CASE WHEN url_class IN ('product', 'category') THEN 2 ELSE 4 END AS priority FROM classed WHERE url_class IN ('product', 'category', 'blog', 'news', 'other')")
 def _(spark, d):

@@ -127,6 +127,13 @@ def _(spark, d):
         "product_id", "in_stock", "id", F.col("recorded_at").cast("date").alias("day"))
 
 
+@query("sco_25_stock_history_whole", with_("stock_history") + """ SELECT * FROM (SELECT product_id, in_stock, id, CAST(recorded_at AS DATE) AS day,
+row_number() OVER (PARTITION BY product_id ORDER BY recorded_at DESC, id DESC) AS rank FROM stock_history) WHERE rank <= 90""")
+def _(spark, d):
+    return comp.history(bind(spark, d, "stock_history"), None, 90).select(
+        "product_id", "in_stock", "id", F.col("recorded_at").cast("date").alias("day"), "rank")
+
+
 @query("sco_26_speed_breakdown", with_("pages_perf", "competitors") + S.perf_sql() + " SELECT competitor_id, " + ", ".join(
     R(f"avg({c})", 6) + f" AS avg_{c}" for c in [*performance.SPEED_SCORES, "page_speed_score"]) + " FROM perf GROUP BY competitor_id")
 def _(spark, d):

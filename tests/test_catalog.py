@@ -32,6 +32,17 @@ def test_query_equals_sql(spark, duck, data, key):
     assert got and got == rows_of(cols, cur.fetchall())
 
 
+@pytest.mark.parametrize("key", ["cls_08_discover_urls_whole", "sco_25_stock_history_whole"])
+def test_query_reads_whole_tables(spark, duck, data, key):
+    test_query_equals_sql(spark, duck, data, key)
+    got = catalog.QUERIES[key](spark, data)
+    if key.startswith("cls"):
+        assert got.where("source = 'sitemap'").count() == spark.read.parquet(f"{data}/lineitem.parquet").count()
+        assert got.where("source = 'homepage'").take(1)
+    else:
+        assert got.select("product_id").distinct().count() == spark.read.parquet(f"{data}/lineitem.parquet").select("l_partkey").distinct().count()
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
