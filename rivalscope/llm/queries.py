@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import load_tokens, token_report
 from .common import documents, labels
 from .learned_search import nearest
 from .line_dedup import line_report
@@ -21,6 +22,8 @@ from .toxicity import toxicity_scores
 
 #: Where the public piece model lies.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+#: Where the public ranks of the byte-level merges lie.
+BYTE_RANKS = os.environ.get("BYTE_RANKS", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +95,8 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_report(documents(spark, folder))
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return token_report(documents(spark, folder), load_tokens(BYTE_RANKS))
