@@ -140,10 +140,11 @@ def mark_ok(code: np.ndarray, first: np.ndarray, at: np.ndarray, letter: int) ->
 class Transducer:
     """The merges as a transducer, determinised on demand."""
 
-    def __init__(self, tokens: list[bytes], most_moves: int = 400_000, most_matches: int = 200_000):
+    def __init__(self, tokens: list[bytes], most_moves: int = 250_000, most_matches: int = 150_000):
         self.tokens, self.most_moves, self.most_matches = tokens, most_moves, most_matches
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.made: dict[bytes, list[int]] = {}
+        self.older: dict[bytes, list[int]] = {}
         self.left, self.right = [-1] * len(tokens), [-1] * len(tokens)
         self.ordered = True  # no token is made of one of a later rank
         self.step: dict[int, int] = {}
@@ -216,58 +217,100 @@ class Transducer:
     def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after a byte, and the tokens that are certain by then."""
         live: list[tuple[int, int, tuple[int, ...]]] = []
+        step, inner, token_at = self.step, self.inner, self.token_at
+        shared: tuple[int, ...] = ()
+        last = -1
         for node, before, own in self.runs[state]:
-            node = self.step.get(node << 8 | byte, 0)
+            node = step.get(node << 8 | byte, 0)
             if not node:
                 continue
-            if node in self.inner:
+            if node in inner:
                 live.append((node, before, own))
-            token = self.token_at[node]
+            token = token_at[node]
             if token >= 0 and (before < 0 or self.agree(before, token)):
-                live.append((0, token, (*own, token)))
-        shared = min((own for _, _, own in live), key=len)
+                shared, last = (*own, token), token
         n = len(shared)
-        while n and any(own[:n] != shared[:n] for _, _, own in live):
-            n -= 1
-        runs = tuple(sorted((node, before, own[n:]) for node, before, own in live))
+        for _, _, own in live:
+            n = min(n, len(own))
+            while own[:n] != shared[:n]:
+                n -= 1
+        if n:
+            live = [(node, before, own[n:]) for node, before, own in live]
+        live.append((0, last, shared[n:]))
+        out = self.moves[state << 8 | byte] = self.state(tuple(live)), shared[:n]
+        return out
+
+    def state(self, runs: tuple) -> int:
+        """The number of a set of runs, oldest first; the last one stands at a token's end."""
         known = self.states.get(runs)
         if known is None:
             known = self.states[runs] = len(self.runs)
             self.runs.append(runs)
-            self.rest.append(next(own for node, _, own in runs if not node))
-        out = self.moves[state << 8 | byte] = known, shared[:n]
-        return out
+            self.rest.append(runs[-1][2])
+        return known
 
     def encode(self, match: bytes) -> list[int]:
         """Ids of one match of the split pattern."""
-        out = self.made.get(match)
-        if out is not None:
-            return out
-        if match in self.whole:
-            return [self.whole[match]]
+        return self.encode_sorted([match], [0])[0]
+
+    def encode_sorted(self, matches: list[bytes], same: list[int]) -> list[list[int]]:
+        """Ids of sorted matches, each of which shares ``same`` first bytes with the one before: these are not read again."""
         if len(self.moves) > self.most_moves:
             self.restart()
-        state, out, moves = 0, [], self.moves
-        for byte in match:
-            made = moves.get(state << 8 | byte)
-            if made is None:
-                if len(moves) > 2 * self.most_moves:  # inside one very long match
-                    runs = self.runs[state]
-                    self.restart()
-                    moves = self.moves
-                    state = self.states.setdefault(runs, len(self.runs))
-                    if state == len(self.runs):
-                        self.runs.append(runs)
-                        self.rest.append(next(own for node, _, own in runs if not node))
-                made = self.move(state, byte)
-            state, certain = made
-            if certain:
-                out += certain
-        out += self.rest[state]
-        if len(match) <= self.longest:
-            if len(self.made) >= self.most_matches:
-                self.made.clear()
-            self.made[match] = out
+        path, counts, tokens, moves, out = [0], [0], [], self.moves, []  # states and numbers of certain tokens after 0, 1, ... bytes
+        for match, k in zip(matches, same, strict=True):
+            if match in self.whole:
+                out.append([self.whole[match]])
+                del path[1:], counts[1:], tokens[:]
+                continue
+            k = min(k, len(path) - 1)
+            del path[k + 1:], counts[k + 1:], tokens[counts[k]:]
+            state, begun = path[k], moves
+            for byte in match[k:]:
+                made = moves.get(state << 8 | byte)
+                if made is None:
+                    if len(moves) > 2 * self.most_moves:
+                        runs = self.runs[state]
+                        self.restart()
+                        moves, state = self.moves, self.state(runs)
+                    made = self.move(state, byte)
+                state, certain = made
+                if certain:
+                    tokens += certain
+                if len(path) <= self.longest:
+                    path.append(state)
+                    counts.append(len(tokens))
+            out.append([*tokens, *self.rest[state]])
+            if moves is not begun:  # the states of this path are forgotten
+                del path[1:], counts[1:], tokens[:]
+        return out
+
+    def encode_distinct(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+        """Ids of distinct byte spans; spans that were met before are looked up."""
+        if len(self.made) > self.most_matches:
+            self.made, self.older = {}, self.made
+        raw, made, older = data.tobytes(), self.made, self.older
+        words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        out = [made.get(w) for w in words]
+        new = []
+        for i, ids in enumerate(out):
+            if ids is None:
+                ids = older.get(words[i])
+                if ids is None:
+                    new.append(i)
+                else:
+                    out[i] = made[words[i]] = ids
+        if not new:
+            return out
+        new.sort(key=words.__getitem__)
+        at, size = starts[new], (ends - starts)[new]
+        head = data[np.minimum(at[:, None] + np.arange(16), len(data) - 1)]
+        equal = (head[1:] == head[:-1]) & (np.arange(16) < np.minimum(size[1:], size[:-1])[:, None])
+        same = [0, *np.cumprod(equal, axis=1).sum(axis=1).tolist()]
+        for i, ids in zip(new, self.encode_sorted([words[i] for i in new], same), strict=True):
+            out[i] = ids
+            if len(words[i]) <= self.longest:
+                made[words[i]] = ids
         return out
 
 
@@ -278,8 +321,7 @@ def encode_chunk(machine: Transducer, classes: np.ndarray, data: np.ndarray, off
     if not len(starts):
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
     _, sample, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    made = [machine.encode(raw[a:b]) for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
+    made = machine.encode_distinct(data, starts[sample], ends[sample])
     size = np.fromiter(map(len, made), np.int64, len(made))
     flat = np.fromiter((i for ids in made for i in ids), np.int32, int(size.sum()))
     own, at = size[which], (np.cumsum(size) - size)[which]
