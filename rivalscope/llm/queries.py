@@ -12,6 +12,7 @@ from .byte_bpe import load_tokens, token_report
 from .common import documents, labels
 from .hard_negatives import hard_negatives, relabelled
 from .learned_search import nearest
+from .lexical_search import ranked_documents
 from .line_dedup import line_report
 from .mixing import mixed
 from .near_dedup import near_duplicates
@@ -125,3 +126,25 @@ ranked AS (SELECT p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.score A
     AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_documents(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+SQL["op13_lexical_search"] = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY ALL),
+whole AS (SELECT count(*) AS total, CAST(sum(n) AS BIGINT) AS len FROM sizes),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * total + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, whole GROUP BY term, total),
+scores AS (SELECT item_id, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * total) // len))))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (doc_id), whole GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
