@@ -9,6 +9,7 @@ from ..functions import urls as fu
 from ..functions.rules import fixed
 from ..operators import text as tx
 from ..operators import vectors as vx
+from ..operators.relational import top_n_per_group
 from ..plans import classify
 from ..sources import crawl as src_crawl
 from ..sources import policies, sitemaps
@@ -378,6 +379,31 @@ def _(spark, d):
     return vx.knn(bind(spark, d, "embeddings"), centroids(spark, d), 10).withColumn("distance", fixed("distance", 6))
 
 
+@query("vec_03_knn_all", f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id,
+1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS dist FROM v a CROSS JOIN v b WHERE a.vec_id <> b.vec_id)
+SELECT query_id, vec_id, {R('dist', 6)} AS distance, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM s QUALIFY rank <= 3""")
+def _(spark, d):
+    e = bind(spark, d, "embeddings").select("vec_id", "embedding")
+    near = vx.knn(e, e.select(F.col("vec_id").alias("query_id"), "embedding"), 4).filter("query_id <> vec_id").drop("rank")
+    return top_n_per_group(near, ["query_id"], [F.asc("distance"), F.asc("vec_id")], 3).withColumn("distance", fixed("distance", 6))
+
+
+@query("vec_03_knn_signatures")
+def _(spark, d):
+    """Approximate form; recall is tested against the exact one."""
+    e = bind(spark, d, "embeddings").select("vec_id", "embedding")
+    index = vx.signature_index(e, 64)
+    return vx.approximate_knn(index, e.select(F.col("vec_id").alias("query_id"), "embedding"), 10, 64)
+
+
+@query("vec_02_rejected", "SELECT vec_id, 'wrong length' AS reason FROM embeddings WHERE vec_id % 10 = 3 UNION ALL SELECT vec_id, 'no length' FROM embeddings WHERE vec_id % 10 = 7 "
+       "UNION ALL SELECT vec_id, 'no vector' FROM embeddings WHERE vec_id % 10 = 9")
+def _(spark, d):
+    last = F.col("vec_id") % 10
+    v = F.when(last == 3, F.slice("embedding", 1, 10)).when(last == 7, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).when(last != 9, F.col("embedding"))
+    return vx.rejected_vectors(bind(spark, d, "embeddings").withColumn("embedding", v), "embedding", 64).select("vec_id", "reason")
+
+
 @query("vec_05_retrieve", _CENT + f"SELECT query_id, vec_id, {R('dist', 6)} AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM s "
        "WHERE DATE '2024-01-01' + CAST(label * 7 AS INTEGER) >= DATE '2024-02-15' - INTERVAL 30 DAY) WHERE rank <= 5")
 def _(spark, d):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rules import as_col
 from .relational import top_n_per_group
@@ -24,34 +26,154 @@ def norm(v: Column) -> Column:
 
 
 def normalize_vectors(df: DataFrame, vector: str, dim: int) -> DataFrame:
-    """Unit vectors; a vector of another length or of zero length is dropped."""
+    """Unit vectors; see :func:`rejected_vectors` for those that can't be one."""
     ok = df.filter((F.size(vector) == dim)).withColumn("_n", norm(F.col(vector))).filter(F.col("_n") > 0)
     return ok.withColumn(vector, F.transform(vector, lambda x: x.cast("double") / F.col("_n"))).drop("_n")
 
 
+def rejected_vectors(df: DataFrame, vector: str, dim: int) -> DataFrame:
+    """Rows that :func:`normalize_vectors` leaves out, with the ``reason``."""
+    reason = (F.when(F.col(vector).isNull(), "no vector").when(F.size(vector) != dim, "wrong length")
+              .when(~F.coalesce(norm(F.col(vector)) > 0, F.lit(False)), "no length"))
+    return df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def centroid(vector: str, dim: int) -> Column:
     """Aggregate: mean of each dimension."""
     return F.array(*[F.avg(F.col(vector)[i].cast("double")) for i in range(dim)])
 
 
+#: Rows of one side that meet in one task of a search.
+TILE_ROWS, TILE_QUERIES = 20_000, 2_000
+
+
+def _unit_rows(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """(name, v, n): vectors in double precision with their length, computed once a row; vectors with null components count as null."""
+    v = F.when(~F.exists(vector, lambda x: x.isNull()), F.transform(vector, lambda x: x.cast("double")))
+    return df.select(F.col(key).alias(name), v.alias("v")).withColumn("n", norm(F.col("v")))
+
+
+def _tiles(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int, queries: int):
+    """Queries and corpus rows grouped so that each query meets each row of its keys in one task, with bounded sides."""
+    sides = (right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_blocks"))
+             .join(left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / queries).cast("int").alias("_turns")), list(keys)))
+
+    def own(name: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(name, F.hash("v")), F.col(n)).cast("int")
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    a = left.join(sides, list(keys)).withColumn("_turn", own("query", "_turns")).withColumn("_block", each("_blocks")).drop("_turns", "_blocks")
+    b = right.join(sides, list(keys)).withColumn("_block", own("item", "_blocks")).withColumn("_turn", each("_turns")).drop("_turns", "_blocks")
+    cells = [*keys, "_block", "_turn"]
+    return a.groupBy(*cells).cogroup(b.groupBy(*cells))
+
+
+def _tile_best(k: int) -> Callable:
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The ``k`` nearest rows of one tile for each query, with equal distances by item.
+
+        A matrix product finds who may be among them; their distances are summed again one by
+        one, in an order that is the same in every tile.
+        """
+        out = []
+        if len(left) and len(right):
+            x, n = np.stack(right["v"].to_numpy()), right["n"].to_numpy()
+            items = right["item"].to_numpy()
+            for at in range(0, len(left), 256):
+                part = left.iloc[at:at + 256]
+                q, m = np.stack(part["v"].to_numpy()), part["n"].to_numpy()
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    far = 1 - (q @ x.T) / (m[:, None] * n[None, :])
+                far = np.where(np.isfinite(far), far, np.inf)  # no distance from or to a zero vector: last
+                edge = np.partition(far, k - 1, axis=1)[:, k - 1:k] if far.shape[1] > k else np.full((len(far), 1), np.inf)
+                r, c = np.nonzero(far <= edge + 1e-9)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    exact = np.concatenate([1 - (q[r[i:i + 4096]] * x[c[i:i + 4096]]).sum(axis=1) / (m[r[i:i + 4096]] * n[c[i:i + 4096]])
+                                            for i in range(0, len(r), 4096)])
+                exact = np.where(np.isfinite(exact), exact, np.inf)
+                order = np.lexsort((items[c], exact, r))
+                r, c, exact = r[order], c[order], exact[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                out.append(pd.DataFrame({"query": part["query"].to_numpy()[r[keep]], "item": items[c[keep]],
+                                         "distance": np.where(np.isfinite(exact[keep]), exact[keep], np.nan)}))
+        return pd.concat(out) if out else pd.DataFrame({"query": left["query"].iloc[:0], "item": right["item"].iloc[:0], "distance": []})
+    return best
+
+
 def knn(corpus: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id",
-        query_key: str = "query_id", max_queries: int = 1024) -> DataFrame:
-    """Exact k nearest corpus rows of each query vector by cosine distance.
+        query_key: str = "query_id", rows: int = TILE_ROWS, per_tile: int = TILE_QUERIES) -> DataFrame:
+    """Exact k nearest corpus rows of each query vector by cosine distance, for any number of queries.
+
+    Queries and corpus meet in tiles of at most ``per_tile`` by ``rows`` vectors. A tile
+    multiplies its two matrices and keeps the best k of each query; only those
+    are shuffled and ranked again. Neither side passes through the driver. A zero
+    vector has no distance and comes last; vectors of another length or with null components take no part.
+    """
+    left = _unit_rows(queries, query_key, vector, "query").filter("v is not null").withColumn("_width", F.size("v"))
+    right = _unit_rows(corpus, key, vector, "item").filter("v is not null").withColumn("_width", F.size("v"))
+    return _rank(_tiles(left, right, ["_width"], rows, per_tile).applyInPandas(_tile_best(k), _pair_schema(left, right)), k, key, query_key)
+
 
-    A request brings few query vectors. Their number is checked; they become one
-    array that every corpus task reads, the corpus is scanned once, and each task
-    keeps its best k per query before the shuffle. More queries than
-    ``max_queries`` are refused: call once per slice of them.
+def _pair_schema(left: DataFrame, right: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("query", left.schema["query"].dataType), T.StructField("item", right.schema["item"].dataType),
+                         T.StructField("distance", T.DoubleType())])
+
+
+def _rank(pairs: DataFrame, k: int, key: str, query_key: str) -> DataFrame:
+    """The best k of each query over all tiles."""
+    named = pairs.select(F.col("query").alias(query_key), F.col("item").alias(key), F.nanvl("distance", F.lit(None)).alias("distance"))
+    return top_n_per_group(named, [query_key], [F.asc_nulls_last("distance"), F.asc(key)], k)
+
+
+def signatures(v: Column, width: int, bits: int, tables: int, probes: int = 1, seed: int = 5) -> Column:
+    """For each table the buckets of a vector, its own first: on which side of ``bits`` random planes it lies.
+
+    Further buckets are those on the other side of the planes that the vector is nearest to, in order
+    of the squared margins crossed. Planes are a fixed function of the seed, so an index built by one
+    job fits another's queries.
+    """
+    planes = np.random.default_rng(seed).normal(size=(width, bits * tables))
+    crossed = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def of(batch: pd.Series) -> pd.Series:
+        if not len(batch):
+            return pd.Series([], dtype=object)
+        out = np.zeros((len(batch), tables, probes), np.int32)
+        for at in range(0, len(batch), 512):
+            margin = (np.stack(batch.iloc[at:at + 512].to_numpy()) @ planes).reshape(-1, tables, bits)
+            own = ((margin > 0) << np.arange(bits)).sum(axis=2)
+            order = np.argsort(margin ** 2 @ crossed.T, axis=2, kind="stable")[:, :, :probes]
+            out[at:at + 512] = own[:, :, None] ^ order
+        return pd.Series([list(map(list, x)) for x in out])
+
+    return of(v)
+
+
+def signature_index(corpus: DataFrame, width: int, vector: str = "embedding", key: str = "vec_id", bits: int = 8, tables: int = 6,
+                    seed: int = 5) -> DataFrame:
+    """(table, bucket, item, v, n): every usable vector once in each table. Write it partitioned by table to keep it."""
+    rows = _unit_rows(corpus, key, vector, "item").filter(F.col("v").isNotNull() & (F.size("v") == width) & (F.col("n") > 0))
+    return (rows.select("item", "v", "n", F.posexplode(signatures(F.col("v"), width, bits, tables, 1, seed)).alias("table", "_b"))
+            .select("table", F.get("_b", F.lit(0)).alias("bucket"), "item", "v", "n"))
+
+
+def approximate_knn(index: DataFrame, queries: DataFrame, k: int, width: int, vector: str = "embedding", key: str = "vec_id",
+                    query_key: str = "query_id", bits: int = 8, tables: int = 6, probes: int = 32, seed: int = 5,
+                    rows: int = TILE_ROWS, per_tile: int = TILE_QUERIES) -> DataFrame:
+    """Near corpus rows of each query from a :func:`signature_index`, ranked by exact distance.
+
+    A query visits its ``probes`` likeliest buckets of each table. Buckets are cut in tiles like
+    :func:`knn`, so a crowded one is spread over tasks; every tile keeps the best k, and a row found in several
+    tables counts once. Recall grows with ``tables`` and ``probes``; ``probes = 2 ** bits`` reads everything.
     """
-    packed = queries.agg(F.collect_list(F.struct(
-        F.col(query_key), F.transform(vector, lambda x: x.cast("double")).alias("v"), norm(F.col(vector)).alias("n"))).alias("q"))
-    checked = packed.select(F.when(F.size("q") <= max_queries, F.col("q")).otherwise(
-        F.raise_error(F.lit(f"more than {max_queries} query vectors")).cast(packed.schema["q"].dataType)).alias("q")).scalar()
-    scored = (corpus.select(key, vector, norm(F.col(vector)).alias("_n"))
-              .withColumn("_q", F.explode(checked))
-              .select(F.col(f"_q.{query_key}"), key,
-                      (1 - F.try_divide(dot(F.col(vector), F.col("_q.v")), F.col("_n") * F.col("_q.n"))).alias("distance")))
-    return top_n_per_group(scored, [query_key], [F.asc_nulls_last("distance"), F.asc(key)], k)
+    left = _unit_rows(queries, query_key, vector, "query").filter(F.col("v").isNotNull() & (F.size("v") == width) & (F.col("n") > 0))
+    asked = (left.select("query", "v", "n", F.posexplode(signatures(F.col("v"), width, bits, tables, min(probes, 1 << bits), seed)).alias("table", "_b"))
+             .select("query", "v", "n", "table", F.explode("_b").alias("bucket")))
+    pairs = _tiles(asked, index, ["table", "bucket"], rows, per_tile).applyInPandas(_tile_best(k), _pair_schema(left, index)).distinct()
+    return _rank(pairs, k, key, query_key)
 
 
 def retrieve(chunks: DataFrame, queries: DataFrame, k: int, as_of, days: int = 30, date: str = "report_date",

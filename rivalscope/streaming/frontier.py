@@ -76,15 +76,26 @@ def job_state_batch(events: DataFrame, tie: str, max_retries: int = 3) -> DataFr
 
 
 class JobStateProcessor(StatefulProcessor):
-    """State of one URL; a timer fires when its lease or its retry time runs out."""
+    """State of one URL, replayed in event time.
+
+    Events wait in a list until the watermark has passed them, so none of them can
+    still be preceded by another; then they are applied in the order of ``(ts, tie)``,
+    and what falls due in between (a lease, a retry) is applied at its own time. The
+    outcome doesn't depend on how events were spread over batches. One timer a URL
+    stands at the next instant that matters: a waiting event, a due time, or the end
+    of the time a finished URL is remembered, when its state is removed.
+    """
 
-    def __init__(self, lease_seconds: float, max_retries: int, base: float, multiplier: float, cap: float) -> None:
+    def __init__(self, lease_seconds: float | None, max_retries: int, base: float, multiplier: float, cap: float,
+                 keep_seconds: float | None, requeue: bool, tie: str | None) -> None:
         self.lease_seconds, self.max_retries = lease_seconds, max_retries
         self.base, self.multiplier, self.cap = base, multiplier, cap
+        self.keep_seconds, self.requeue, self.tie = keep_seconds, requeue, tie
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("job", STATE_SCHEMA.replace("url_id string, ", ""))
+        self.waiting = handle.getListState("waiting", "ts timestamp, tie long, domain string, event string, error string")
 
     def _load(self) -> dict | None:
         if not self.state.exists():
@@ -95,63 +106,102 @@ class JobStateProcessor(StatefulProcessor):
     def _wait(self, attempt: int) -> dt.timedelta:
         return dt.timedelta(seconds=min(self.cap, self.base * self.multiplier ** max(0, attempt - 1)))
 
-    def _save(self, job: dict) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.state.update((job["domain"], job["status"], job["retries"], job["last_error"], job["updated_at"], job["due_at"]))
-        if job["due_at"] is not None:
-            self.handle.registerTimer(int(pd.Timestamp(job["due_at"], tz="UTC").timestamp() * 1000))
-
-    def _fail(self, job: dict, error: str | None, at) -> None:
+    def _fail(self, job: dict, error: str | None, at: dt.datetime) -> None:
         job["retries"] += 1
         job["last_error"] = error
         dead = job["retries"] > self.max_retries
         job.update(status="failed" if dead else "retry_scheduled", updated_at=at,
-                   due_at=None if dead else at + self._wait(job["retries"]))
+                   due_at=None if dead or not self.requeue else at + self._wait(job["retries"]))
+
+    def _forget_at(self, job: dict | None) -> dt.datetime | None:
+        """When a finished URL is forgotten."""
+        if job is None or self.keep_seconds is None or job["status"] not in ("completed", "failed"):
+            return None
+        return job["updated_at"] + dt.timedelta(seconds=self.keep_seconds)
+
+    def _apply(self, job: dict | None, event: tuple) -> dict:
+        at, _, domain, kind, error = event
+        if job is None:
+            job = dict(domain=domain, status=None, retries=0, last_error=None, updated_at=at, due_at=None)
+        job["domain"] = domain
+        if kind == "failed":
+            self._fail(job, error, at)
+        else:
+            lease = kind == "inflight" and self.lease_seconds is not None
+            job.update(status=kind, updated_at=at, due_at=at + dt.timedelta(seconds=self.lease_seconds) if lease else None)
+        return job
+
+    def _pass_time(self, job: dict | None, at: dt.datetime) -> dict | None:
+        """Apply what falls due before ``at``."""
+        while job is not None and job["due_at"] is not None and job["due_at"] < at:
+            due = job["due_at"]
+            if job["status"] == "inflight":
+                self._fail(job, "lease expired", due)
+            else:
+                job.update(status="queued", updated_at=due, due_at=None)
+        forget = self._forget_at(job)
+        return None if forget is not None and forget < at else job
+
+    def _set_timer(self, job: dict | None, waiting: list[tuple]) -> None:
+        """One timer, just after the earliest instant that matters."""
+        instants = [e[0] for e in waiting]
+        if job is not None:
+            instants += [t for t in (job["due_at"], self._forget_at(job)) if t is not None]
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if instants:
+            self.handle.registerTimer(int(pd.Timestamp(min(instants), tz="UTC").timestamp() * 1000) + 1)
 
-    def _frame(self, key, job: dict) -> pd.DataFrame:
-        return pd.DataFrame([{"url_id": key[0], **job}])
+    def _events(self) -> list[tuple]:
+        return [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        job = self._load()
-        for r in batch.itertuples():
-            at = r.ts.to_pydatetime()
-            if job is None:
-                job = dict(domain=r.domain, status=None, retries=0, last_error=None, updated_at=at, due_at=None)
-            if at < job["updated_at"]:  # came late: newer state stands
-                continue
-            if r.event == "failed":
-                self._fail(job, r.error, at)
-            else:
-                lease = dt.timedelta(seconds=self.lease_seconds)
-                job.update(status=r.event, updated_at=at, due_at=at + lease if r.event == "inflight" else None)
-        self._save(job)
-        yield self._frame(key, job)
+        new = []
+        for batch in rows:
+            ties = batch[self.tie] if self.tie else [0] * len(batch)
+            new += [(r.ts.to_pydatetime(), int(t), r.domain, r.event, r.error) for r, t in zip(batch.itertuples(), ties, strict=True)]
+        self.waiting.appendList(new)
+        self._set_timer(self._load(), self._events())
+        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        job = self._load()
-        if job is None or job["due_at"] is None:
-            return
-        at = job["due_at"]
-        if job["status"] == "inflight":
-            self._fail(job, "lease expired", at)
-        else:
-            job.update(status="queued", updated_at=at, due_at=None)
-        self._save(job)
-        yield self._frame(key, job)
+        now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms").to_pydatetime()
+        before, waiting = self._load(), sorted(self._events(), key=lambda e: e[:2])
+        job = None if before is None else dict(before)
+        ripe = [e for e in waiting if e[0] < now]
+        for event in ripe:
+            job = self._apply(self._pass_time(job, event[0]), event)
+        changed = dict(job) if job is not None else None
+        job = self._pass_time(job, now)
+        if job is not None:
+            changed = job
+        if ripe:
+            waiting = waiting[len(ripe):]
+            self.waiting.clear()
+            if waiting:
+                self.waiting.put(waiting)
+        if job is None:
+            self.state.clear()
+        elif job != before:
+            self.state.update((job["domain"], job["status"], job["retries"], job["last_error"], job["updated_at"], job["due_at"]))
+        self._set_timer(job, waiting)
+        return iter([pd.DataFrame([{"url_id": key[0], **changed}])] if changed is not None and changed != before else [])
 
     def close(self) -> None:
         pass
 
 
-def job_state(stream: DataFrame, watermark: str = "10 minutes", lease_seconds: float = 300.0, max_retries: int = 3,
-              base: float = 10.0, multiplier: float = 2.0, cap: float = 300.0) -> DataFrame:
-    """State row of each URL after every change.
+def job_state(stream: DataFrame, watermark: str = "10 minutes", lease_seconds: float | None = 300.0, max_retries: int = 3,
+              base: float = 10.0, multiplier: float = 2.0, cap: float = 300.0, keep_seconds: float | None = 259_200.0,
+              requeue: bool = True, tie: str | None = None) -> DataFrame:
+    """State row of each URL after every change, events being applied in event time once the watermark has passed them.
 
-    Needs the RocksDB state store provider. State is one small row per URL.
+    ``tie`` orders events of one instant. ``lease_seconds=None`` knows no leases, ``requeue=False`` leaves
+    failed URLs waiting for a retry, ``keep_seconds`` is how long a completed or failed URL is remembered (None:
+    for ever). Events older than the watermark when they arrive are dropped by Spark. Needs the RocksDB state
+    store provider; state is one small row per URL and its events within the watermark's delay.
     """
-    proc = JobStateProcessor(lease_seconds, max_retries, base, multiplier, cap)
+    proc = JobStateProcessor(lease_seconds, max_retries, base, multiplier, cap, keep_seconds, requeue, tie)
     return (stream.withWatermark("ts", watermark).groupBy("url_id")
             .transformWithStateInPandas(proc, STATE_SCHEMA, "Update", "EventTime"))
 

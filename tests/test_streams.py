@@ -1,9 +1,11 @@
 import datetime as dt
 import json
+import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from rivalscope.catalog.streams import payloads
+from rivalscope.catalog.streams import job_events, payloads
 from rivalscope.streaming import frontier, ingest, metrics
 
 T0 = dt.datetime(2024, 1, 1)
@@ -37,27 +39,71 @@ def test_dedup_seen_equals_batch(spark, folder):
     assert sorted(r.url_id for r in out) == sorted(r.url_id for r in twin) == ["a", "b", "c"]
 
 
+EVENTS = "url_id string, domain string, event string, ts timestamp, error string, n long"
+
+
+def until(seconds):
+    """An event of another URL, later than all others: moves the watermark."""
+    return ("~", "d", "queued", at(seconds), None, 0)
+
+
+def newest(out):
+    return {r.url_id: r for r in out if r.url_id != "~"}
+
+
 def test_job_state(spark, folder):
-    schema = "url_id string, domain string, event string, ts timestamp, error string, n int"
     batches = [
         [("a", "d", "queued", at(0), None, 1), ("a", "d", "inflight", at(1), None, 2), ("b", "d", "inflight", at(2), None, 3)],
         [("a", "d", "failed", at(5), "e1", 4), ("b", "d", "completed", at(6), None, 5)],
         [("c", "d", "failed", at(7), "x1", 6), ("c", "d", "failed", at(8), "x2", 7), ("c", "d", "failed", at(9), "x3", 8),
-         ("c", "d", "failed", at(10), "x4", 9)]]
-    out = run(frontier.job_state(stream_of(spark, folder, batches, schema)), folder, "update", spark)
-    last = {r.url_id: r for r in out}
+         ("c", "d", "failed", at(10), "x4", 9)], [until(14)], [until(14)]]
+    out = run(frontier.job_state(stream_of(spark, folder, batches, EVENTS), watermark="1 second", tie="n"), folder, "update", spark)
+    last = newest(out)
     twin = {r.url_id: r for r in frontier.job_state_batch(
-        spark.createDataFrame([r for b in batches for r in b], schema), "n").collect()}
+        spark.createDataFrame([r for b in batches[:3] for r in b], EVENTS), "n").collect()}
+    assert last.keys() == twin.keys()
     for k, t in twin.items():
         assert (last[k].status, last[k].retries, last[k].last_error) == (t.status, t.retries, t.last_error)
     assert last["a"].due_at == at(15) and last["c"].status == "failed" and last["c"].due_at is None
 
 
-def test_late_event_keeps_newer_state(spark, folder):
-    schema = "url_id string, domain string, event string, ts timestamp, error string, n int"
-    batches = [[("a", "d", "completed", at(100), None, 1)], [("a", "d", "inflight", at(50), None, 2)]]
-    out = run(frontier.job_state(stream_of(spark, folder, batches, schema)), folder, "update", spark)
-    assert {r.status for r in out if r.url_id == "a"} == {"completed"}
+def test_job_state_of_shuffled_batches_equals_batch(spark, folder, data):
+    """All events, dealt over three batches in any order: the batch twin's rows, retries included."""
+    events = job_events(spark, data).withColumnRenamed("event_id", "n").select("url_id", "domain", "event", "ts", "error", "n")
+    rows = [tuple(r) for r in events.collect()]
+    random.Random(3).shuffle(rows)
+    cut = len(rows) // 3
+    end = ("~", "d", "queued", max(r[3] for r in rows) + dt.timedelta(days=900), None, 0)
+    batches = [rows[:cut], rows[cut:2 * cut], rows[2 * cut:], [end], [end]]
+    schema = EVENTS.replace("timestamp", events.schema["ts"].dataType.simpleString())
+    stream = stream_of(spark, folder, batches, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = run(frontier.job_state(stream, "400 days", lease_seconds=None, requeue=False, keep_seconds=None, tie="n"), folder, "update", spark)
+    want = {r.url_id: (r.domain, r.status, r.retries, r.last_error) for r in frontier.job_state_batch(events, "n").collect()}
+    assert {k: (r.domain, r.status, r.retries, r.last_error) for k, r in newest(out).items()} == want and len(want) > 10
+
+
+def test_late_failure_counts(spark, folder):
+    """A failure that arrives after newer events, but before the watermark, is applied at its own time."""
+    batches = [[("a", "d", "completed", at(100), None, 1)], [("a", "d", "failed", at(50), "e", 2)], [until(5000)], [until(5000)]]
+    out = run(frontier.job_state(stream_of(spark, folder, batches, EVENTS)), folder, "update", spark)
+    last = newest(out)["a"]
+    assert (last.status, last.retries, last.last_error) == ("completed", 1, "e")
+
+
+def test_finished_state_is_removed(spark, folder):
+    """A finished URL is forgotten after its time; a later event begins a new record; an open one stays."""
+    batches = [[("a", "d", "failed", at(0), "e", 1), ("a", "d", "completed", at(1), None, 2), ("b", "d", "queued", at(2), None, 3)],
+               [until(500)], [until(501)], [("a", "d", "queued", at(600), None, 4)], [until(2000)], [until(2001)]]
+    df = frontier.job_state(stream_of(spark, folder, batches, EVENTS), watermark="1 second", keep_seconds=100)
+    out = run(df, folder, "update", spark)
+    mine = [(r.status, r.retries) for r in out if r.url_id == "a"]
+    assert ("completed", 1) in mine and mine[-1] == ("queued", 0)
+    last = max(int(p.name) for p in Path(folder, "ck/commits").iterdir() if p.name.isdigit())
+    held = [{r[0] for r in spark.read.format("statestore").option("stateVarName", "job").option("batchId", i).load(f"{folder}/ck")
+             .select("key.url_id").collect()} for i in range(last + 1)]
+    with_a = ["a" in h for h in held]
+    gone = with_a.index(False, with_a.index(True))
+    assert "b" in held[gone] and "a" in held[-1]
 
 
 def test_rejected_texts_and_repeated_compaction(spark, folder):
@@ -74,7 +120,7 @@ def test_rejected_texts_and_repeated_compaction(spark, folder):
 def test_lease_expiry_by_timer(spark, folder):
     schema = "url_id string, domain string, event string, ts timestamp, error string, n int"
     batches = [[("a", "d", "inflight", at(0), None, 1)], [("z", "d", "queued", at(5000), None, 2)], [("z", "d", "queued", at(5001), None, 3)]]
-    out = run(frontier.job_state(stream_of(spark, folder, batches, schema), lease_seconds=300), folder, "update", spark)
+    out = run(frontier.job_state(stream_of(spark, folder, batches, schema.replace("int", "long")), lease_seconds=300), folder, "update", spark)
     mine = [r for r in out if r.url_id == "a"]
     assert any(r.status == "retry_scheduled" and r.last_error == "lease expired" and r.retries == 1 for r in mine)
 
