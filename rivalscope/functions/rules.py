@@ -77,9 +77,9 @@ def where_optional(df: DataFrame, **equal: object) -> DataFrame:
     return df
 
 
-def where_in(df: DataFrame, column: str, ids: Sequence[int], least: int = 2, most: int = 5) -> DataFrame:
-    """Keep rows of 2 to 5 chosen ids."""
-    if not least <= len(ids) <= most:
+def where_in(df: DataFrame, column: str, ids: Sequence[int], least: int = 1, most: int | None = None) -> DataFrame:
+    """Keep rows of chosen ids; a caller may ask for a least and a greatest number of them."""
+    if len(ids) < least or (most is not None and len(ids) > most):
         raise ValueError(f"provide {least} to {most} ids, got {len(ids)}")
     return df.filter(F.col(column).isin(list(ids)))
 

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import work_folder
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -79,11 +82,52 @@ def topk(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+#: Rows up to which a page is cut from a sorted head; deeper pages go by a rank index.
+SHALLOW = 10_000
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
-    """One page of a listing. ``order`` must end with a unique column."""
-    if number < 1 or not 1 <= size <= 200:
-        raise ValueError("page starts at 1 and size lies in 1..200")
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    """One page of a listing. ``order`` must end with a unique column.
+
+    The head of a listing is a top-k. A deep page would gather all rows before it in one task,
+    so it is read from a :class:`RankIndex`; keep that index to read many pages.
+    """
+    if number < 1 or size < 1:
+        raise ValueError("pages and sizes start at 1")
+    if number * size <= SHALLOW:
+        return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    return RankIndex(df, order).page(number, size)
+
+
+class RankIndex:
+    """A listing sorted once: range-sorted parts on disk and the number of rows before each.
+
+    Rows are numbered within their part, so any page is a filter on one or two parts.
+    ``total`` is the number of rows.
+    """
+
+    def __init__(self, df: DataFrame, order: Sequence[Column], folder: str | None = None) -> None:
+        spark = df.sparkSession
+        self.columns, self.order = df.columns, list(order)
+        self.folder = folder or work_folder(spark, "ranks")
+        id_ = F.monotonically_increasing_id()  # part number and row number in the sorted part
+        (df.orderBy(*order).withColumn("_id", id_).withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)})
+         .drop("_id").write.mode("overwrite").partitionBy("_part").parquet(self.folder))
+        self.rows = spark.read.schema(T.StructType([*df.schema, T.StructField("_at", T.LongType()), T.StructField("_part", T.IntegerType())])).parquet(self.folder)
+        sizes = sorted((r["_part"], r["count"]) for r in self.rows.groupBy("_part").count().collect())  # one row a part
+        self.starts, self.total = [], 0
+        for part, n in sizes:
+            self.starts.append((part, self.total, n))
+            self.total += n
+
+    def page(self, number: int, size: int) -> DataFrame:
+        low = (number - 1) * size
+        high = low + size
+        own = F.lit(False)
+        for part, start, n in self.starts:
+            if start < high and start + n > low:
+                own = own | ((F.col("_part") == part) & (F.col("_at") >= low - start) & (F.col("_at") < high - start))
+        return self.rows.filter(own).orderBy(*self.order).select(*self.columns)
 
 
 def union_all(*frames: DataFrame) -> DataFrame:
@@ -121,6 +165,19 @@ def pairwise_gap(df: DataFrame, key: str, cols: Sequence[str], blocks: int = 16)
             .select("key_a", "key_b", *[(F.col(f"_{c}") - F.col(c)).alias(f"{c}_gap") for c in cols]))
 
 
+def distinct_sketches(df: DataFrame, keys: Sequence[str], column: str, precision: int = 12) -> DataFrame:
+    """One mergeable sketch of the distinct values of a column per key, to be stored, say by day.
+
+    Opt-in beside the exact distinct count: a relative error of about 1.04 / sqrt(2 ** precision).
+    """
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(column, precision).alias("sketch"))
+
+
+def distinct_estimates(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Estimated distinct count per key of united sketches; no fact is read again."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+
+
 def pivot_matrix(df: DataFrame, row: str, column: str, values: Sequence[object], agg: Column) -> DataFrame:
     """One row per ``row`` and one column per listed value; zero when absent."""
     return df.groupBy(row).pivot(column, list(values)).agg(agg).na.fill(0)

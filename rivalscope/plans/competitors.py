@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import fixed, mean_available, where_in, where_optional
+from ..operators.search import like_pattern, search
 from ..operators.relational import one_row, page, top_n_per_group, topk, with_counts
 
 
@@ -114,11 +115,14 @@ def products_page(products: DataFrame, competitor_id: int | None = None, number:
 
 
 def search_products(products: DataFrame, competitors: DataFrame, text: str, limit: int = 20,
-                    competitor_id: int | None = None) -> DataFrame:
-    """Products whose title or category contains a text, newest first."""
-    like = "%" + text.replace("\\", "\\\\") + "%"
-    hits = where_optional(products, competitor_id=competitor_id).filter(
-        F.col("title").ilike(like) | F.col("category").ilike(like))
+                    competitor_id: int | None = None, index: str | None = None) -> DataFrame:
+    """Products whose title or category contains a text, newest first; ``index``: folder of their gram index."""
+    mine = where_optional(products, competitor_id=competitor_id)
+    if index is not None:
+        hits = search(mine, index, "id", ["title", "category"], text)
+    else:
+        like = like_pattern(text)
+        hits = mine.filter(F.col("title").ilike(like) | F.col("category").ilike(like))
     names = competitors.select(F.col("id").alias("competitor_id"), F.col("domain").alias("competitor_domain"))
     return topk(hits.join(names, "competitor_id"), [F.desc_nulls_last("last_updated_at"), F.asc("id")], limit)
 

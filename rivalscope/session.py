@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def work_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder below the shared one."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -14,10 +14,10 @@ def append(df: DataFrame, path: str, ts: str | None = None) -> None:
         df.withColumn("date", F.col(ts).cast("date")).write.mode("append").partitionBy("date").parquet(path)
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition: str) -> None:
+def overwrite_partitions(df: DataFrame, path: str, *partition: str) -> None:
     """Replace only the partitions present in ``df`` (safe to run again)."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition).parquet(path))
+     .partitionBy(*partition).parquet(path))
 
 
 def overwrite(df: DataFrame, path: str) -> None:

@@ -28,9 +28,23 @@ _LINK = "struct<url:string,href:string>"
 
 def parse_crawl_results(raw: DataFrame, body: str = "value") -> DataFrame:
     """JSON texts with ``event`` and ``result`` to typed columns, with ``received_at`` where present; see :func:`rejected_texts`."""
+    return accepted(typed(raw, body))
+
+
+def typed(raw: DataFrame, body: str = "value") -> DataFrame:
+    """JSON texts beside their typed columns, both kinds of rows: parse once, then :func:`accepted` and :func:`rejected`."""
     parsed = F.from_json(F.col(body), f"struct<event:string,result:{CRAWL_RESULT}>")
     own = [c for c in raw.columns if c == "received_at"]
-    return raw.select(parsed["event"].alias("event"), parsed["result"].alias("r"), *own).filter(F.col("r.url").isNotNull())
+    return raw.select(F.col(body).cast("string").alias("value"), *own, parsed.alias("_p")).select(
+        "value", *own, F.col("_p.event").alias("event"), F.col("_p.result").alias("r"))
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("r.url").isNotNull()).drop("value")
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("r.url").isNull()).drop("event", "r")
 
 
 def rejected_texts(raw: DataFrame, body: str = "value") -> DataFrame:

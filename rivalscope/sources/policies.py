@@ -60,12 +60,25 @@ def robots_rules(files: DataFrame, agent: str = "*", site: str = "site", text: s
     return files.select(site, F.explode(rules).alias("_r")).select(site, "_r.line", "_r.path")
 
 
+def matching_rules(urls: DataFrame, rules: DataFrame, site: str = "site", path: str = "path") -> DataFrame:
+    """(site, path, rule): for each distinct path that a rule of its site disallows, the longest such rule.
+
+    A rule is a prefix, so rules act as a flattened tree of prefixes: a path is cut at the lengths that rules of
+    its site have, and each cut is looked up by equality. A path meets as many keys as its site has
+    different rule lengths, however many rules there are.
+    """
+    known = rules.select(site, F.col("path").alias("_rule")).filter(F.col("_rule") != "").distinct()
+    lengths = known.groupBy(site).agg(F.collect_set(F.length("_rule")).alias("_lengths"))  # bounded by the longest path
+    cuts = (urls.select(site, path).distinct().join(lengths, site)
+            .select(site, path, F.explode(F.filter("_lengths", lambda n: n <= F.length(path))).alias("_n"))
+            .withColumn("_rule", F.substring(F.col(path), F.lit(1), F.col("_n"))))
+    hits = cuts.join(known, [site, "_rule"])
+    return hits.groupBy(site, path).agg(F.max_by("_rule", "_n").alias("rule"))
+
+
 def apply_robots(urls: DataFrame, rules: DataFrame, site: str = "site", path: str = "path") -> DataFrame:
-    """URLs that no rule of their site disallows."""
-    r = rules.select(site, F.col("path").alias("_rule")).distinct()
-    u, k = urls.alias("u"), r.alias("r")
-    on = (F.col(f"u.{site}") == F.col(f"r.{site}")) & F.col(f"u.{path}").startswith(F.col("r._rule"))
-    return u.join(k, on, "left_anti")
+    """URLs that no rule of their site disallows; rows without a path stay."""
+    return urls.join(matching_rules(urls, rules, site, path).select(site, path), [site, path], "left_anti")
 
 
 def policy_lines(files: DataFrame, site: str = "site", text: str = "text") -> DataFrame:
@@ -80,7 +93,8 @@ def policy_lines(files: DataFrame, site: str = "site", text: str = "text") -> Da
             g.alias("g"), key.alias("key"), val.alias("val"))).alias("out"))).otherwise(acc)
 
     lines = F.aggregate(_lines(F.col(text)), start, step, lambda acc: acc["out"])
-    return files.select(site, F.explode(lines).alias("_l")).select(site, F.col("_l.g").alias("group_no"), "_l.key", "_l.val")
+    return files.select(site, F.posexplode(lines).alias("line_no", "_l")).select(
+        site, F.col("_l.g").alias("group_no"), "_l.key", "_l.val", "line_no")
 
 
 def ai_policy_groups(files: DataFrame, site: str = "site", text: str = "text") -> DataFrame:
@@ -90,10 +104,14 @@ def ai_policy_groups(files: DataFrame, site: str = "site", text: str = "text") -
     known = ["user-agent", "allow", "disallow", "crawl-delay", "crawl_delay", "training", "allow-training",
              "data-usage", "data_use", "data-collection"]
     d = policy_lines(files, site, text).filter("group_no > 0")
+
+    def in_order(kind: Column) -> Column:
+        """Values of one directive in the order of the file."""
+        return F.transform(F.array_sort(F.collect_list(F.when(kind, F.struct("line_no", "val")))), lambda v: v["val"])
+
     return d.groupBy(site, "group_no").agg(
         F.max(F.when(low == "user-agent", F.col("val"))).alias("user_agent"),
-        F.collect_list(F.when(low == "allow", F.col("val"))).alias("allows"),
-        F.collect_list(F.when(low == "disallow", F.col("val"))).alias("disallows"),
+        in_order(low == "allow").alias("allows"), in_order(low == "disallow").alias("disallows"),
         F.max(F.when(low.isin("crawl-delay", "crawl_delay"), F.col("val"))).alias("crawl_delay"),
         F.max(F.when(low.isin(*known[5:]), F.col("val"))).alias("training"),
         F.collect_set(F.when(~low.isin(*known), F.struct("key", "val"))).alias("extra"))

@@ -16,7 +16,7 @@ from ..functions.urls import canonical_url, url_id
 from ..operators.relational import latest_by
 from ..sinks.upserts import upsert_pages
 from ..sinks.writers import overwrite
-from ..sources.crawl import ingest_crawl_results, parse_crawl_results, rejected_texts
+from ..sources.crawl import accepted, ingest_crawl_results, rejected, typed
 
 SCHEMAS = {
     "web_pages": "url_hash string, url string, domain string, page_type string, seen_at timestamp, batch bigint",
@@ -32,14 +32,20 @@ SCHEMAS = {
 
 def write_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     """One micro-batch (JSON texts in ``value``, optionally ``received_at``) to all tables."""
-    now = F.col("received_at") if "received_at" in batch.columns else F.current_timestamp()
-    out = ingest_crawl_results(parse_crawl_results(batch), now)
+    if "received_at" not in batch.columns:
+        batch = batch.withColumn("received_at", F.current_timestamp())
+    rows = typed(batch).persist()  # the texts are parsed once for all tables
+    now = F.col("received_at")
+    out = ingest_crawl_results(accepted(rows), now)
     seeds = out["next_urls"].select(url_id("url").alias("url_id"), canonical_url("url").alias("url"), "job_type", "priority")
     parts = {"web_pages": out["pages"], "products": out["products"], "snapshots": out["snapshots"], "jobs": out["jobs"],
              "seeds": seeds.filter(F.col("url_id").isNotNull()).dropDuplicates(["url_id"]),
-             "rejects": rejected_texts(batch).select(F.col("value").cast("string").alias("value"), now.alias("received_at"))}
-    for name, df in parts.items():
-        overwrite(df, f"{root}/{name}/batch={batch_id}")
+             "rejects": rejected(rows)}
+    try:
+        for name, df in parts.items():
+            overwrite(df, f"{root}/{name}/batch={batch_id}")
+    finally:
+        rows.unpersist()
 
 
 def ingest_stream(stream: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
