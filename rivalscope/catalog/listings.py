@@ -176,8 +176,8 @@ def _(spark, d):
 
 
 @query("sco_28_top_posts", with_("social_posts", "social_accounts") + f""" SELECT competitor_id, platform, id, total_engagement, rank FROM (
-SELECT a.competitor_id, a.platform, p.id, CAST({S.ENG} AS BIGINT) AS total_engagement,
-row_number() OVER (PARTITION BY a.competitor_id ORDER BY {S.ENG} DESC, p.id, p.publish_time) AS rank
+SELECT a.competitor_id, a.platform, p.id, CAST({S.ENGAGED} AS BIGINT) AS total_engagement,
+row_number() OVER (PARTITION BY a.competitor_id ORDER BY ({S.ENGAGED}) DESC, p.id, p.publish_time) AS rank
 FROM social_posts p JOIN social_accounts a ON a.id = p.account_id) WHERE rank <= 20""")
 def _(spark, d):
     return reports.top_posts(bind(spark, d, "social_posts"), bind(spark, d, "social_accounts")).select(

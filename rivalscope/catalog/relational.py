@@ -252,8 +252,11 @@ def _(spark, d):
     return bind(spark, d, "products").select("id", fr.completeness().alias("points"))
 
 
-@query("prj_14_issue_numbers", with_("page_snapshots", "page_dim") + S.TOP_ISSUES + " SELECT DISTINCT issue, pen AS penalty_value, sc AS score_value, "
-       "mx AS score_max, num AS raw_number FROM scored")
+@query("prj_14_issue_numbers", with_("page_snapshots", "page_dim") + S.ISSUES + r""", numbers AS (SELECT issue,
+regexp_extract(issue, 'Penalty:\s*([0-9.]+)', 1) AS penalty, regexp_extract(issue, 'Score:\s*([0-9.]+)/', 1) AS score,
+regexp_extract(issue, 'Score:\s*[0-9.]+/([0-9.]+)', 1) AS full_score, regexp_extract(issue, '[0-9]+') AS number FROM (SELECT DISTINCT issue FROM issues_long))
+SELECT DISTINCT lower(trim(regexp_replace(regexp_replace(issue, ':\s\d+', ':', 'g'), '\(.*\)$', ''))) AS issue, TRY_CAST(penalty AS DOUBLE) AS penalty_value,
+TRY_CAST(score AS DOUBLE) AS score_value, TRY_CAST(full_score AS DOUBLE) AS score_max, TRY_CAST(number AS DOUBLE) AS raw_number FROM numbers""")
 def _(spark, d):
     long = issues.issues_long(bind(spark, d, "page_snapshots"), bind(spark, d, "page_dim"))
     return long.select(ft.issue_key("issue").alias("issue"), *[c.alias(n) for n, c in ft.issue_numbers("issue").items()]).distinct()
@@ -264,7 +267,7 @@ def _(spark, d):
     return bind(spark, d, "events").select("event_id", fr.label("value", [(50, "up")], [(10, "down")], "flat").alias("label"))
 
 
-@query("prj_20_engagement", with_("social_posts") + f" SELECT id, CAST({S.ENG} AS BIGINT) AS total_engagement FROM social_posts")
+@query("prj_20_engagement", with_("social_posts") + f" SELECT id, CAST({S.ENGAGED} AS BIGINT) AS total_engagement FROM social_posts")
 def _(spark, d):
     return bind(spark, d, "social_posts").select("id", fr.engagement().cast("bigint").alias("total_engagement"))
 
@@ -308,8 +311,8 @@ def _(spark, d):
     return rel.join_norm(bind(spark, d, "products"), t, ft.normalize_text("category"), F.col("normalized_name")).select("id", "category_name")
 
 
-@query("joi_04_grid_totals", S._MARKET + S.MARKET + """ SELECT c.id AS competitor_id, count(n) AS filled_cells, CAST(sum(least(coalesce(n, 0), 25) * tc.w) AS DOUBLE)
-AS capped_weight FROM competitors c CROSS JOIN tc LEFT JOIN cnt ON c.id = cnt.competitor_id AND tc.k = cnt.k GROUP BY c.id""")
+@query("joi_04_grid_totals", S._MARKET + S.MARKET + """ SELECT competitor_id, count(*) FILTER (WHERE found > 0) AS filled_cells, CAST(sum(weight * least(found, 25)) AS DOUBLE) AS capped_weight
+FROM cells GROUP BY competitor_id""")
 def _(spark, d):
     return market.complete_grid_totals(bind(spark, d, "competitors"), bind(spark, d, "products"), bind(spark, d, "target_categories"))
 
@@ -458,8 +461,8 @@ def _(spark, d):
     return rel.latest_by(bind(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("agg_12_growth", with_("social_account_metrics", "social_accounts", "social_posts") + S.SOCIAL + """ SELECT lam.account_id, lam.follower_count,
-coalesce(growth_rate, 0) AS growth_rate, coalesce(delta, 0) AS follower_delta FROM lam LEFT JOIN gr USING (account_id)""")
+@query("agg_12_growth", with_("social_account_metrics", "social_accounts", "social_posts") + S.SOCIAL + """ SELECT account_id, followers AS follower_count,
+coalesce(rate, 0) AS growth_rate, coalesce(gained, 0) AS follower_delta FROM followers""")
 def _(spark, d):
     return social.growth(bind(spark, d, "social_account_metrics"), S.as_of())
 
@@ -598,7 +601,7 @@ def _(spark, d):
     return bind(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal").orderBy("c_mktsegment", F.desc("c_acctbal"))
 
 
-@query("set_01_concat_arrays", with_("page_snapshots", "page_dim") + S.ISSUES + " SELECT page_url_hash, issue, count(*) AS n FROM lists GROUP BY 1, 2")
+@query("set_01_concat_arrays", with_("page_snapshots", "page_dim") + S.ISSUES + " SELECT page_url_hash, issue, count(*) AS n FROM issues_long GROUP BY 1, 2")
 def _(spark, d):
     s = bind(spark, d, "page_snapshots").select("page_url_hash", F.explode(issues.issue_array()).alias("issue"))
     return s.groupBy("page_url_hash", "issue").agg(F.count(F.lit(1)).alias("n"))
