@@ -202,6 +202,50 @@ _SCORE_SRC = (f"{RICH}, " + _VISIBLE[2:] + r", w AS (SELECT page_id, html, len(r
               "len(list_distinct(regexp_extract_all(html, '<a href=\"[^\"]*\"'))) AS links FROM src)")
 
 
+# Pages given by their features, made from orders so that every case of every message occurs.
+_CASES = """WITH f AS (SELECT o_orderkey AS page_id, o_custkey % 3 AS a, o_orderkey % 4 AS b, o_orderkey % 7 AS c, o_custkey % 5 AS d, o_orderkey % 90 AS e FROM orders),
+said AS (
+SELECT page_id, 'title' AS rule, CASE WHEN a = 0 THEN 'Title: Title missing. (Score: 0.0/10.0)' WHEN a = 1 THEN 'Title: Title length suboptimal. (Score: 3.0/10.0)'
+  ELSE 'Title: Title present and well-sized. (Score: 10.0/10.0)' END AS message FROM f UNION ALL
+SELECT page_id, 'meta_description', CASE WHEN b = 0 THEN 'Meta Description: Meta description missing. (Score: 0.0/8.0)'
+  WHEN b = 1 THEN 'Meta Description: Meta description length suboptimal. (Score: 2.4/8.0)' ELSE 'Meta Description: Meta description present and well-sized. (Score: 8.0/8.0)' END FROM f UNION ALL
+SELECT page_id, 'image_alt_text', CASE WHEN c = 0 THEN 'Image Alt Text: No images detected. (Score: 3.5/7.0)'
+  WHEN c < 4 THEN 'Image Alt Text: ' || (5 - c) || ' images missing alt text. (Score: ' || format('{:.1f}', 7 * c / 5.0) || '/7.0)' WHEN c = 4 THEN 'Image Alt Text: Good alt text coverage. (Score: 5.6/7.0)'
+  ELSE 'Image Alt Text: Good alt text coverage. (Score: 7.0/7.0)' END FROM f UNION ALL
+SELECT page_id, 'html_page_size', CASE WHEN c < 2 THEN 'Html Page Size: HTML page size is large (' || (501 + c) || 'KB). (Score: 0.0/5.0)'
+  WHEN c < 4 THEN 'Html Page Size: HTML page size is moderate (' || (300 + c) || 'KB). (Score: 2.5/5.0)' ELSE 'Html Page Size: HTML page size is good (' || (100 + c) || 'KB). (Score: 5.0/5.0)' END FROM f UNION ALL
+SELECT page_id, 'dom_size', CASE WHEN d = 0 THEN 'Dom Size: DOM size is very large (1501 elements). (Score: 0.0/5.0)' WHEN d = 1 THEN 'Dom Size: DOM size is large (801 elements). (Score: 2.5/5.0)'
+  ELSE 'Dom Size: DOM size is good (800 elements). (Score: 5.0/5.0)' END FROM f UNION ALL
+SELECT page_id, 'readability', CASE WHEN e = 0 THEN 'Readability: Readability score N/A. (Score: 0.0/10.0)' WHEN e < 30 THEN 'Readability: Very difficult to read (Flesch: ' || e || '.0). (Score: 1.0/10.0)'
+  WHEN e < 60 THEN 'Readability: Readability could be improved (Flesch: ' || e || '.0). (Score: 5.0/10.0)' ELSE 'Readability: Good readability (Flesch: ' || e || '.0). (Score: 10.0/10.0)' END FROM f UNION ALL
+SELECT page_id, 'keyword_usage', 'Keyword Usage: No specific keywords targeted for usage analysis. (Score: 10.0/10.0)' FROM f UNION ALL
+SELECT page_id, 'text_html_ratio', CASE WHEN a = 0 THEN 'Text Html Ratio: Text-to-HTML ratio N/A. (Score: 0.0/5.0)' WHEN a = 1 THEN 'Text Html Ratio: Text-to-HTML ratio low (4.5%). (Score: 1.0/5.0)'
+  ELSE 'Text Html Ratio: Text-to-HTML ratio is 40.5%. (Score: 5.0/5.0)' END FROM f UNION ALL
+SELECT page_id, 'spell_check', CASE WHEN d = 0 THEN 'Spell Check: No significant spelling errors. (Score: 5.0/5.0)'
+  ELSE 'Spell Check: ' || d || ' potential spelling errors found. (Penalty: ' || format('{:.1f}', d / 2.0) || '/5.0)' END FROM f) SELECT * FROM said"""
+
+
+@query("aud_25_messages", _CASES)
+def _(spark, d):
+    o = bind(spark, d, "orders")
+    a, b, c, d5, e = F.col("o_custkey") % 3, F.col("o_orderkey") % 4, F.col("o_orderkey") % 7, F.col("o_custkey") % 5, F.col("o_orderkey") % 90
+    flags = ["enough_words", "enough_links", "has_open_graph", "has_twitter_card", "is_seo_friendly_url", "has_deprecated", "has_flash", "has_frameset", "is_https",
+             "has_canonical", "is_mobile_friendly", "has_schema", "has_json_ld", "has_microdata", "has_mixed_content", "has_favicon", "has_charset", "has_doctype"]
+    counts = ["h1_count", "h2_count", "images_not_responsive", "broken_links", "inline_styles", "unsafe_cross_origin_links", "keywords_missing"]
+    kb = F.when(c < 2, 501 + c).when(c < 4, 300 + c).otherwise(100 + c)
+    pages = o.select(
+        F.col("o_orderkey").alias("page_id"), *[F.lit(True).alias(n) for n in flags], *[F.lit(0).alias(n) for n in counts],
+        F.when(a > 0, F.lit("t")).alias("title"), (a == 2).alias("title_good_length"), F.when(b > 0, F.lit("m")).alias("meta_description"),
+        (b > 1).alias("description_good_length"), F.when(c == 0, 0).otherwise(5).alias("images"), F.greatest(F.lit(0), 5 - c).alias("images_without_alt"),
+        F.lit("index").alias("meta_robots"), F.lit(None).cast("string").alias("http_version"), F.lit(None).cast("map<string,string>").alias("headers"),
+        kb.cast("int").alias("html_kb"), (kb * 1024).alias("html_size"), F.when(d5 == 0, 1501).when(d5 == 1, 801).otherwise(800).alias("dom_size"),
+        F.when(e > 0, e.cast("double")).alias("flesch_reading_ease"), F.array(F.lit("k")).alias("common_keywords"),
+        F.when(a == 1, "low_ratio").when(a == 2, "calculated").alias("text_html_status"), F.when(a == 1, 4.5).otherwise(40.5).alias("text_html_ratio"),
+        d5.alias("misspelled_count"), F.lit("text").alias("visible_text"))
+    chosen = ["title", "meta_description", "image_alt_text", "html_page_size", "dom_size", "readability", "keyword_usage", "text_html_ratio", "spell_check"]
+    return audit.with_rule_rows(pages).select("page_id", F.inline("rule_rows")).filter(F.col("rule").isin(chosen)).select("page_id", "rule", "message")
+
+
 @query("aud_25_on_page_score", _SCORE_SRC + f" SELECT page_id, {R(f'({_ON}) / 102.0 * 100', 1)} AS on_page_score_percent FROM w")
 def _(spark, d):
     return audit.score_pages(pf.audit_features(rich(spark, d), "offers"), keywords=["offers"]).select("page_id", "on_page_score_percent")

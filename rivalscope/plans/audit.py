@@ -71,6 +71,18 @@ MESSAGES: dict[str, tuple[str, str]] = {
     "text_html_ratio": ("Text-to-HTML ratio low ({text_html_ratio}%).", "Text-to-HTML ratio is {text_html_ratio}%."),
     "spell_check": ("{misspelled_count} potential spelling errors found.", "No significant spelling errors."),
 }
+# Messages of single cases, in the order they are tried before the rule's own two; conditions are on feature columns.
+CASES: dict[str, list[tuple[str, str]]] = {
+    "title": [("title IS NULL", "Title missing.")],
+    "meta_description": [("meta_description IS NULL", "Meta description missing.")],
+    "image_alt_text": [("images = 0", "No images detected.")],
+    "html_page_size": [("html_size > 200 * 1024 AND html_size <= 500 * 1024", "HTML page size is moderate ({html_kb}KB).")],
+    "dom_size": [("dom_size > 1500", "DOM size is very large ({dom_size} elements).")],
+    "readability": [("flesch_reading_ease IS NULL", "Readability score N/A."),
+                    ("flesch_reading_ease < 30", "Very difficult to read (Flesch: {flesch_reading_ease}).")],
+    "keyword_usage": [("keywords_targeted = 0", "No specific keywords targeted for usage analysis.")],
+    "text_html_ratio": [("text_html_status IS NULL", "Text-to-HTML ratio N/A.")],
+}
 # Inputs that come from other tables; each has a value for when it is absent.
 _OPTIONAL = {"headers": "cast(null as map<string,string>)", "http_version": "cast(null as string)",
              "broken_links": "0", "misspelled_count": "0"}
@@ -134,7 +146,8 @@ def _shares(n_keywords: int) -> dict[str, Column]:
         "readability": F.when(ease >= 60, 1.0).when(ease >= 30, 0.5).when(ease.isNotNull(), 0.1).otherwise(0.0),
         "keyword_usage": F.lit(1.0) if not n_keywords else 1.0 - F.col("keywords_missing") / F.lit(float(n_keywords)),
         "most_common_keywords": _if(F.size("common_keywords") > 0),
-        "text_html_ratio": F.when(F.col("text_html_status") == "low_ratio", 0.2).otherwise(1.0),
+        "text_html_ratio": F.when(F.col("text_html_status") == "low_ratio", 0.2).when(
+            F.col("text_html_status").isNotNull(), 1.0).otherwise(0.0),
     }
 
 
@@ -157,6 +170,15 @@ def _message(template: str) -> Column:
     return F.concat(*parts)
 
 
+def _wording(rule: str, bad: Column) -> Column:
+    """A rule's message: that of the first case that holds, else its issue or its success."""
+    issue, success = (_message(t) for t in MESSAGES[rule])
+    text = F.when(bad, issue).otherwise(success)
+    for condition, template in reversed(CASES.get(rule, [])):
+        text = F.when(F.expr(condition), _message(template)).otherwise(text)
+    return text
+
+
 def rule_table(weights: Mapping[str, Mapping[str, float]] | None = None) -> list[tuple[str, str, float, float]]:
     """(category, rule, most points, weight) with the user's changes applied."""
     changes = weights or {}
@@ -178,9 +200,8 @@ def with_rule_rows(inputs: DataFrame, weights: Mapping[str, Mapping[str, float]]
         points = (counted[rule] if rule in counted else shares[rule] * F.lit(most)).cast("double")
         lost = rule in PENALTIES
         bad = points > 0 if lost else points < most * 0.8
-        issue, success = (_message(t) for t in MESSAGES[rule])
         shown = F.when(bad, points).otherwise(F.lit(most)) if lost else points
-        text = F.concat(F.lit(rule.replace("_", " ").title() + ": "), F.when(bad, issue).otherwise(success),
+        text = F.concat(F.lit(rule.replace("_", " ").title() + ": "), _wording(rule, bad),
                         F.when(bad, " (Penalty: " if lost else " (Score: ").otherwise(" (Score: "),
                         F.format_string("%.1f/%.1f)", shown, F.lit(most)))
         rows.append(F.struct(
@@ -188,7 +209,9 @@ def with_rule_rows(inputs: DataFrame, weights: Mapping[str, Mapping[str, float]]
             F.lit(weight).alias("weight"), (F.lit(most) - points if lost else points).alias("earned"),
             bad.alias("is_issue"), text.alias("message")))
     has_text = F.trim("visible_text") != ""
-    return inputs.withColumn("rule_rows", F.filter(F.array(*rows), lambda r: has_text | (r["category"] != "content")))
+    # The number of keywords asked for is a column while the rules are written out, as their cases name it.
+    counted_in = inputs.withColumn("keywords_targeted", F.lit(n_keywords))
+    return counted_in.withColumn("rule_rows", F.filter(F.array(*rows), lambda r: has_text | (r["category"] != "content"))).drop("keywords_targeted")
 
 
 def _category(name: str) -> dict[str, Column]:
