@@ -140,7 +140,7 @@ def cheapest_flow(patterns: list[tuple[int, tuple[int, ...]]], quotas: list[int]
 
 
 def _solve(group: pd.DataFrame, repeats: int) -> pd.DataFrame:
-    """Rows (pattern, size, sources, quotas) of one connected group: words used of each pattern."""
+    """Rows (pattern, size, sources, quotas) of one connected group: words that each pattern gives to each of its sources."""
     quotas: dict[str | None, int] = {}
     for names, amounts in zip(group["sources"], group["quotas"], strict=True):
         quotas.update(zip(names, (int(round(q)) for q in amounts), strict=True))
@@ -148,23 +148,27 @@ def _solve(group: pd.DataFrame, repeats: int) -> pd.DataFrame:
     rows = group.sort_values("pattern")
     flow = cheapest_flow([(int(n), tuple(order[s] for s in names)) for n, names in zip(rows["size"], rows["sources"], strict=True)],
                          [quotas[s] for s in order], repeats)
-    used = [0] * len(rows)
-    for (i, _), n in flow.items():
-        used[i] += n
-    return pd.DataFrame({"pattern": rows["pattern"].to_numpy(), "used": used})
+    name, patterns = list(order), rows["pattern"].tolist()
+    out = [(patterns[i], name[s], n) for (i, s), n in sorted(flow.items())]
+    return pd.DataFrame({"pattern": pd.Series([p for p, _, _ in out], dtype="int64"), "source": pd.Series([s for _, s, _ in out], dtype=object),
+                         "words": pd.Series([n for _, _, n in out], dtype="int64")})
+
+
+def _overlap(patterns: DataFrame) -> bool:
+    """Whether some document has several sources."""
+    return bool(patterns.where(F.size("sources") > 1).take(1))
 
 
 def _groups(patterns: DataFrame) -> DataFrame:
     """(pattern, group): the smallest pattern id that shared sources reach."""
     member = stash(patterns.select("pattern", F.explode("sources").alias("source")), "member")
     label = patterns.select("pattern", F.col("pattern").alias("group"))
-    if not patterns.where(F.size("sources") > 1).take(1):  # single sources: each pattern is its own group
+    if not _overlap(patterns):  # single sources: each pattern is its own group
         return label
     label = stash(label, "label")
     while True:
-        low = member.join(label, "pattern").groupBy(F.struct("source").alias("k")).agg(F.min("group").alias("low"))
-        new = (member.withColumn("k", F.struct("source")).join(low, F.col("k").eqNullSafe(low["k"]))
-               .groupBy("pattern").agg(F.min("low").alias("group")))
+        low = member.join(label, "pattern").groupBy(F.col("source").alias("_source")).agg(F.min("group").alias("low"))
+        new = member.join(low, F.col("source").eqNullSafe(F.col("_source"))).groupBy("pattern").agg(F.min("low").alias("group"))
         new = stash(new, "label")
         changed = new.join(label.withColumnRenamed("group", "was"), "pattern").where("group <> was").take(1)
         label = new
@@ -176,13 +180,15 @@ def _groups(patterns: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, members: Column, repeats: int = 2, share: float = 1.5, seed: int = 11,
         weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """``docs`` (doc_id, size and more) with ``pattern``, ``used`` by the pattern, and ``times`` each document is taken.
+    """``docs`` (doc_id, size and more) with ``times`` each document is taken, and ``taken_for``: the source each time counts for.
 
     ``members`` is an array of source names. Sizes of a document count in each
-    of its sources; see :func:`mixed` for single sources.
+    of its sources; see :func:`mixed` for single sources. The words that the flow
+    sends from a pattern to a source are the next of its documents in the order of their hashes.
     """
     names = F.array_sort(F.array_distinct(members))
-    named = stash(docs.withColumns({"_sources": names, "_pattern": F.xxhash64(F.to_json(names, {"ignoreNullFields": "false"})),
+    # Rows alike in all that is looked at are told apart by their number.
+    named = stash(docs.withColumns({"_row": F.monotonically_increasing_id(), "_sources": names, "_pattern": F.xxhash64(F.to_json(names, {"ignoreNullFields": "false"})),
                                     "_hash": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))}), "mix")
     patterns = stash(named.groupBy(F.col("_pattern").alias("pattern")).agg(
         F.sum("size").alias("size"), F.first("_sources").alias("sources")), "patterns")
@@ -193,28 +199,55 @@ def mix(docs: DataFrame, members: Column, repeats: int = 2, share: float = 1.5,
              .groupBy("pattern").agg(F.collect_list(F.struct(F.col("p.source").alias("source"), "target")).alias("q")))
     network = (patterns.drop("sources").join(quota, "pattern").join(_groups(patterns), "pattern")
                .select("pattern", "size", "group", F.col("q.source").alias("sources"), F.col("q.target").alias("quotas")))
-    used = network.groupBy("group").applyInPandas(lambda g: _solve(g, repeats), "pattern long, used long")
-    plan = stash(patterns.select("pattern", "size").join(used, "pattern").select(
-        "pattern", F.when(F.col("size") > 0, F.floor(F.col("used") / F.col("size"))).otherwise(0).alias("whole"),
+    flow = stash(network.groupBy("group").applyInPandas(lambda g: _solve(g, repeats), "pattern long, source string, words long"), "flow")
+    used = flow.groupBy("pattern").agg(F.sum("words").alias("used"))
+    plan = stash(patterns.select("pattern", "size").join(used, "pattern", "left").na.fill(0, ["used"]).select(
+        "pattern", F.col("size").alias("pattern_size"), F.when(F.col("size") > 0, F.floor(F.col("used") / F.col("size"))).otherwise(0).alias("whole"),
         F.when(F.col("size") > 0, F.col("used") % F.col("size")).otherwise(F.lit(0)).alias("rest")), "plan")
-    return _picked(named, plan), targets
+    return _assigned(_picked(named, plan), named, flow, _overlap(patterns)), targets
+
+
+def _cells(named: DataFrame) -> DataFrame:
+    """Sizes of hash cells, and what comes before them in their pattern."""
+    upto = Window.partitionBy("pattern").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    return (named.groupBy(F.col("_pattern").alias("pattern"), _cell().alias("cell")).agg(F.sum("size").alias("cell_size"))
+            .withColumn("before", F.coalesce(F.sum("cell_size").over(upto), F.lit(0))))
+
+
+def _cell() -> Column:
+    return F.shiftrightunsigned("_hash", 64 - CELL_BITS)
+
+
+def _assigned(picked: DataFrame, named: DataFrame, flow: DataFrame, overlap: bool) -> DataFrame:
+    """Add ``taken_for``. A pattern's words, repetition after repetition in the order of hash cells, go to its sources one after the other."""
+    if not overlap:
+        return picked.withColumn("taken_for", F.array_repeat(F.get("_sources", F.lit(0)), F.col("times")))
+    shares = flow.where("words > 0").groupBy(F.col("pattern").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("source", "words"))).alias("_shares"))
+    upto = F.transform("_shares", lambda s, i: F.struct(s["source"].alias("source"), F.aggregate(
+        F.slice("_shares", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("upto")))
+    cells = _cells(named).select(F.col("pattern").alias("_at"), F.col("cell").alias("_c"), F.col("before").alias("_start"))
+    rows = (picked.join(shares.withColumn("_shares", upto), F.col("_pattern") == F.col("_of"), "left")
+            .join(cells, (F.col("_pattern") == F.col("_at")) & (F.col("_cell") == F.col("_c")), "left"))
+
+    def source_of(r: Column) -> Column:
+        word = r * F.col("pattern_size") + F.col("_start")
+        return F.coalesce(F.get(F.filter("_shares", lambda s: s["upto"] > word), F.lit(0)), F.element_at("_shares", -1))["source"]
+    each = F.transform(F.sequence(F.lit(0), F.col("times") - 1), source_of)
+    return rows.withColumn("taken_for", F.when(F.col("times") > 0, each).otherwise(F.array().cast("array<string>")))
 
 
 def _picked(named: DataFrame, plan: DataFrame) -> DataFrame:
     """``times`` of each document: the pattern's whole repetitions, and one more for documents before the pattern's cut."""
-    cell = F.shiftrightunsigned("_hash", 64 - CELL_BITS)
-    cells = named.groupBy(F.col("_pattern").alias("pattern"), cell.alias("cell")).agg(F.sum("size").alias("cell_size"))
-    upto = Window.partitionBy("pattern").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (cells.withColumn("before", F.coalesce(F.sum("cell_size").over(upto), F.lit(0))).join(plan, "pattern")
+    cut = (_cells(named).join(plan, "pattern")
            .where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("cell_size") > F.col("rest")))
            .groupBy("pattern").agg(F.min(F.struct("cell", "before")).alias("c"))
            .select("pattern", F.col("c.cell").alias("cut"), (F.col("c.before")).alias("before")))
     plan = stash(plan.join(cut, "pattern", "left"), "cut")
-    placed = named.join(plan, named["_pattern"] == plan["pattern"], "left").withColumn("_cell", cell)
+    placed = named.join(plan, named["_pattern"] == plan["pattern"], "left").withColumn("_cell", _cell())
     below = F.coalesce(F.col("_cell") < F.col("cut"), F.lit(False))
     edge = F.coalesce(F.col("_cell") == F.col("cut"), F.lit(False))
     # Only the documents of the cut cell are put in order.
-    in_order = Window.partitionBy("_pattern").orderBy(F.shiftrightunsigned("_hash", 1), "_hash", "doc_id", "size")
+    in_order = Window.partitionBy("_pattern").orderBy(F.shiftrightunsigned("_hash", 1), "_hash", "doc_id", "size", "_row")
     fitting = (placed.where(edge).withColumn("_sum", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
                .withColumn("_more", (F.col("before") + F.col("_sum") <= F.col("rest")).cast("int")))
     others = placed.where(~edge).withColumns({"_sum": F.lit(0).cast("long"), "_more": below.cast("int")})
@@ -224,12 +257,12 @@ def _picked(named: DataFrame, plan: DataFrame) -> DataFrame:
             .join(plan.select("pattern", (F.col("rest")).alias("_rest")), F.col("_pattern") == F.col("pattern"))
             .select("pattern", (F.col("_rest") - F.col("taken")).alias("left"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part")))
     sizes = (first.where("_more = 0 and size > 0").groupBy("_pattern", "size")  # one document for each size of a pattern
-             .agg(F.min(F.struct("_hash", "doc_id")).alias("doc")).withColumn("_part", F.pmod(F.xxhash64("size"), F.lit(SALTS)).cast("int")))
+             .agg(F.min(F.struct("_hash", "doc_id", "_row")).alias("doc")).withColumn("_part", F.pmod(F.xxhash64("size"), F.lit(SALTS)).cast("int")))
     last = (sizes.join(left, (F.col("_pattern") == left["pattern"]) & (F.col("_part") == left["part"]))
             .where(F.abs(F.col("left") - F.col("size")) < F.col("left"))
             .groupBy("_pattern").agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("off"), "doc")).alias("one"))
-            .select(F.col("_pattern").alias("pattern"), F.col("one.doc._hash").alias("one_hash"), F.col("one.doc.doc_id").alias("one_doc")))
-    extra = (F.col("_hash") == F.col("one_hash")) & F.col("doc_id").eqNullSafe(F.col("one_doc")) & (F.col("_more") == 0)
+            .select(F.col("_pattern").alias("pattern"), F.col("one.doc._row").alias("one_row")))
+    extra = F.col("_row") == F.col("one_row")
     done = first.drop("pattern").join(last, F.col("_pattern") == last["pattern"], "left")
     return done.withColumn("times", (F.coalesce(F.col("whole"), F.lit(0)) + F.col("_more")
                                      + F.coalesce(extra, F.lit(False)).cast("int")).cast("int"))

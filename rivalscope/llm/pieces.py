@@ -31,7 +31,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -337,10 +337,12 @@ _CHANGE = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()),
 
 def encode_documents(docs: DataFrame, pieces: Pieces, n: int = 3) -> DataFrame:
     """Per document: the best path's ids, scores of the ``n`` best, changes of the others, and whether decoding gives the text back."""
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # bounded by the vocabulary
+    # Bounded by the vocabulary; plain values, so that executors need no copy of the package.
+    shared = docs.sparkSession.sparkContext.broadcast({f.name: getattr(pieces, f.name) for f in fields(pieces)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(shared.value)
+        own = Pieces(**shared.value)
+        table = WordTable(own)
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             at = 0
@@ -361,7 +363,7 @@ def encode_documents(docs: DataFrame, pieces: Pieces, n: int = 3) -> DataFrame:
                     s, c = text_paths(table, ws, places[word_at[k]:word_at[k + 1]], n)
                     scores.append(s)
                     changes.append(c)
-                    back.append(decode_ids(flat[piece_at[k]:piece_at[k + 1]].tolist(), shared.value.bytes_of) == texts[at + k])
+                    back.append(decode_ids(flat[piece_at[k]:piece_at[k + 1]].tolist(), own.bytes_of) == texts[at + k])
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, to - at), pa.array(np.diff(piece_at).astype(np.int64)),
                      pa.ListArray.from_arrays(pa.array(piece_at), pa.array(flat)), pa.array(scores, pa.list_(pa.int64())),

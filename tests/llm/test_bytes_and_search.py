@@ -281,3 +281,44 @@ def test_blocks_skip_documents_that_cannot_win():
     weight[terms] = gains
     assert best[0].score.tolist() == sorted(cell.scores(np.arange(1000), weight).tolist())[::-1][:5]
     assert scored < holding / 2
+
+
+# ------------------------------------------------------------------ executors without the package
+
+_ELSEWHERE = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import functions as F
+from rivalscope.llm import byte_bpe, hard_negatives, lexical_search, pieces, queries
+from rivalscope.session import build_session
+spark = build_session("elsewhere", "local[2]", **{{"spark.sql.shuffle.partitions": "2"}})
+def bare(_):
+    try:
+        import rivalscope
+        return [1]
+    except ImportError:
+        return [0]
+assert spark.sparkContext.parallelize([0], 1).mapPartitions(bare).collect() == [0], "workers have the package"
+docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+model = pieces.load_pieces(queries.PIECE_MODEL)
+encoded = pieces.encode_documents(docs, model)
+assert [r.text for r in pieces.decode_documents(encoded, model).orderBy("doc_id").collect()] == ["one two three", ""]
+assert byte_bpe.token_report(docs, byte_bpe.load_tokens(queries.BYTE_RANKS)).count() == 2
+items = spark.createDataFrame([(7, "two three")], "item_id long, text string")
+assert [tuple(r)[:3] for r in lexical_search.ranked_documents(docs, items).collect()] == [(7, 1, 1)]
+v = spark.createDataFrame([(0, [1.0, 1.0], 1), (1, [1.0, 1.0], 1), (2, [1.0, 0.9], 2)], "vec_id long, embedding array<double>, label int")
+assert hard_negatives.hard_negatives(v, F.col("vec_id") == 0).count() == 1
+print("done")
+"""
+
+
+def test_operators_without_the_package_on_executors(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[2])
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", _ELSEWHERE.format(root=root)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert run.stdout.strip().endswith("done"), run.stderr[-3000:]

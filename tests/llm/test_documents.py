@@ -171,6 +171,47 @@ def test_mixing_odd_tables(spark, none):
     assert {r["taken"] for r in mixing.mixed(empty).collect()} == {0}
 
 
+def test_mixing_takes_one_of_equal_rows(spark):
+    """Rows alike in every column, with an id or without: their source still comes within one document of its target."""
+    for doc_id in (5, None):
+        same = table(spark, [(doc_id, "a b c", "en", "a")] * 103 + [(9, "x y", "en", "b")] * 40)
+        got = mixing.mixed(same.repartition(3)).collect()
+        for size in (3, 2):
+            rows = [r for r in got if r["size"] == size]
+            assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= size
+
+
+def test_mixing_of_overlapping_sources(spark):
+    """Documents of several sources: the greatest total with the least repetition, and each source's share of what was taken."""
+    rng = random.Random(12)
+    names = ["a", "b", "c", None]
+    rows = [(k, rng.randrange(1, 6), sorted({rng.choice(names) for _ in range(rng.choice([1, 1, 2, 3]))}, key=lambda s: (s is None, s or ""))) for k in range(400)]
+    rows += [(1000, 4, []), (None, 3, ["a", "b"]), (None, 3, ["a", "b"])]
+    df = spark.createDataFrame(rows, "doc_id long, size long, members array<string>").withColumn("pattern", F.lit("x"))
+    picked, targets = mixing.mix(df.drop("pattern"), F.col("members"))
+    got, target = picked.collect(), {r["source"]: r["target"] for r in targets.collect()}
+    patterns: dict = {}
+    for _, size, own in rows:
+        if own:
+            patterns[tuple(own)] = patterns.get(tuple(own), 0) + size
+    order = list(target)
+    flow = mixing.cheapest_flow([(n, tuple(order.index(s) for s in p)) for p, n in patterns.items()], [round(target[s]) for s in order], 2)
+    given = {s: sum(n for (_, k), n in flow.items() if order[k] == s) for s in order}
+    taken = dict.fromkeys(order, 0)
+    for r in got:
+        assert r["times"] == len(r["taken_for"]) <= 2 and {*r["taken_for"]} <= {*r["members"]}
+        for s in r["taken_for"]:
+            taken[s] += r["size"]
+    total = sum(r["times"] * r["size"] for r in got)
+    assert abs(total - sum(given.values())) <= 6 * len(patterns)
+    for s in order:  # a boundary between two sources cuts one document of each pattern at most
+        assert abs(taken[s] - given[s]) <= 6 * len(patterns) and given[s] <= round(target[s])
+    used = {p: sum(r["times"] * r["size"] for r in got if tuple(r["members"]) == p) for p in patterns}
+    repeated = sum(max(0, used[p] - patterns[p]) for p in patterns)
+    least = sum(max(0, sum(n for (i, _), n in flow.items() if i == k) - size) for k, size in enumerate(patterns.values()))
+    assert abs(repeated - least) <= 6 * len(patterns)
+
+
 def test_flow_is_cheapest():
     """Least repetition among all plans of greatest size, by trying every plan."""
     rng = random.Random(2)
