@@ -131,14 +131,15 @@ class JobStateProcessor(StatefulProcessor):
             job.update(status=kind, updated_at=at, due_at=at + dt.timedelta(seconds=self.lease_seconds) if lease else None)
         return job
 
-    def _pass_time(self, job: dict | None, at: dt.datetime) -> dict | None:
-        """Apply what falls due before ``at``."""
+    def _pass_time(self, job: dict | None, at: dt.datetime, changes: list[dict]) -> dict | None:
+        """Apply what falls due before ``at``, and note each change."""
         while job is not None and job["due_at"] is not None and job["due_at"] < at:
             due = job["due_at"]
             if job["status"] == "inflight":
                 self._fail(job, "lease expired", due)
             else:
                 job.update(status="queued", updated_at=due, due_at=None)
+            changes.append(dict(job))
         forget = self._forget_at(job)
         return None if forget is not None and forget < at else job
 
@@ -168,13 +169,11 @@ class JobStateProcessor(StatefulProcessor):
         now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms").to_pydatetime()
         before, waiting = self._load(), sorted(self._events(), key=lambda e: e[:2])
         job = None if before is None else dict(before)
-        ripe = [e for e in waiting if e[0] < now]
+        ripe, changes = [e for e in waiting if e[0] < now], []
         for event in ripe:
-            job = self._apply(self._pass_time(job, event[0]), event)
-        changed = dict(job) if job is not None else None
-        job = self._pass_time(job, now)
-        if job is not None:
-            changed = job
+            job = self._apply(self._pass_time(job, event[0], changes), event)
+            changes.append(dict(job))
+        job = self._pass_time(job, now, changes)
         if ripe:
             waiting = waiting[len(ripe):]
             self.waiting.clear()
@@ -185,7 +184,7 @@ class JobStateProcessor(StatefulProcessor):
         elif job != before:
             self.state.update((job["domain"], job["status"], job["retries"], job["last_error"], job["updated_at"], job["due_at"]))
         self._set_timer(job, waiting)
-        return iter([pd.DataFrame([{"url_id": key[0], **changed}])] if changed is not None and changed != before else [])
+        return iter([pd.DataFrame([{"url_id": key[0], **c} for c in changes])] if changes else [])
 
     def close(self) -> None:
         pass
@@ -194,7 +193,7 @@ class JobStateProcessor(StatefulProcessor):
 def job_state(stream: DataFrame, watermark: str = "10 minutes", lease_seconds: float | None = 300.0, max_retries: int = 3,
               base: float = 10.0, multiplier: float = 2.0, cap: float = 300.0, keep_seconds: float | None = 259_200.0,
               requeue: bool = True, tie: str | None = None) -> DataFrame:
-    """State row of each URL after every change, events being applied in event time once the watermark has passed them.
+    """State row of each URL after every change, in order, events being applied in event time once the watermark has passed them.
 
     ``tie`` orders events of one instant. ``lease_seconds=None`` knows no leases, ``requeue=False`` leaves
     failed URLs waiting for a retry, ``keep_seconds`` is how long a completed or failed URL is remembered (None:
