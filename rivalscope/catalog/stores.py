@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import relational as rel
+from ..operators import vectors as vx
 from ..operators.search import write_gram_index
 from ..plans import competitors as comp
 from ..plans import social
+from ..plans.refresh import refresh_all
 from ..session import work_folder
 from ..sinks import writers
 from ..sources import policies
 from ..streaming import continuous, ingest
 from . import R, bind, query, with_
+from . import scores as S
 from .relational import _RULES, robots
 from .streams import payloads
 
@@ -101,3 +104,22 @@ def _(spark, d):
         ingest.write_batch(rows.unionByName(broken).filter(F.col("event_id") % 2 == batch).select("value"), batch, root)
     return rel.union_all(*[ingest.read_rows(spark, root, n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("part"), "n_rows")
                            for n in ("web_pages", "snapshots", "products", "jobs", "rejects")])
+
+
+@query("snk_09_refresh", with_("page_snapshots", "page_dim", "competitors") + S.SEO + S.summary_sql("page_dim", "competitors") + " SELECT * FROM summary")
+def _(spark, d):
+    """A refresh in order of dependency, run twice; the second run replaces what the first wrote."""
+    inputs = {"page_snapshots": bind(spark, d, "page_snapshots"), "web_pages": bind(spark, d, "page_dim"), "competitors": bind(spark, d, "competitors")}
+    folder = work_folder(spark, "refresh")
+    for _ in range(2):
+        refresh_all(spark, inputs, folder, S.as_of(), S.LAST_DAY, only=["competitor_seo_summary"])
+    return spark.read.parquet(f"{folder}/competitor_seo_summary")
+
+
+@query("udf_05_embed_hook", "SELECT doc_id, CAST(length(text) AS DOUBLE) AS characters, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS letters FROM documents")
+def _(spark, d):
+    """A user's model given as a hook: built once a task, fed with batches of texts."""
+    def model():
+        return lambda texts: [[len(t), t.count("e")] for t in texts]
+    out = vx.embed(bind(spark, d, "documents").select("doc_id", "text"), "text", model)
+    return out.select("doc_id", F.get("embedding", F.lit(0)).cast("double").alias("characters"), F.get("embedding", F.lit(1)).cast("double").alias("letters"))
