@@ -308,11 +308,12 @@ def json_ld_texts() -> Column:
 
 
 def microdata() -> Column:
-    """Top-level items with their own properties. Nesting is read from node positions."""
-    scopes = F.filter("els", lambda e: has_attr(e, "itemscope"))
+    """Top-level items with their own properties.
 
-    def above(e: Column, x: Column) -> Column:
-        return (x["seq"] < e["seq"]) & (x["end"] >= e["seq"])
+    Every node knows its nearest item, so an item reads its own nodes once, and top-level
+    items don't overlap: the work is linear in the page however items are nested.
+    """
+    scopes = F.filter("els", lambda e: has_attr(e, "itemscope"))
 
     def value(p: Column) -> Column:
         text = subtext(F.col("nodes"), p)
@@ -324,12 +325,12 @@ def microdata() -> Column:
                 .when(p["tag"] == "object", attr(p, "data")).otherwise(text))
 
     def properties(item: Column) -> Column:
-        own = F.filter("els", lambda p: has_attr(p, "itemprop") & above(p, item)
-                       & ~F.exists(scopes, lambda s: above(p, s) & above(s, item)))
+        inner = F.slice(F.col("nodes"), item["seq"] + 2, item["end"] - item["seq"])
+        own = F.filter(inner, lambda p: (p["scope"] == item["seq"]) & has_attr(p, "itemprop"))
         pairs = F.transform(own, lambda p: F.struct(attr(p, "itemprop").alias("name"), value(p).alias("value")))
         return F.filter(pairs, lambda x: (x["name"] != "") & x["value"].isNotNull())
 
-    top = F.filter(scopes, lambda e: ~F.exists(scopes, lambda x: above(e, x)))
+    top = F.filter(scopes, lambda e: e["scope"] < 0)
     items = F.transform(top, lambda e: F.struct(
         F.coalesce(attr(e, "itemtype"), F.lit("UnknownType")).alias("type"), properties(e).alias("properties")))
     return F.filter(items, lambda i: F.size(i["properties"]) > 0)

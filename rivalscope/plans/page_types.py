@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import BASE, pagination_parameter, resolve_url, url_part
 from ..operators.text import bind_once
-from ..sources.html import attr, first, inside, subtext, tagged
+from ..sources.html import NOISE, attr, first, inside, subtext, tagged
 from .classify import classify_url, page_type
 from .page_features import json_ld_texts, rel_has
 from .products import _clean, _meta, json_ld_nodes
@@ -55,19 +55,14 @@ def has_filter_controls() -> Column:
                                        | _class_is(e, "wd-product-filters") | _class_is(e, "nbrItemPage"))
         select = (e["tag"] == "select") & i.isin("selectProductSort", "nb_item")
         return form | select
-    shown = F.exists("els", lambda u: (u["tag"] == "ul") & _class_is(u, "display") & F.exists(
-        F.slice(F.col("nodes"), u["seq"] + 2, u["end"] - u["seq"]), lambda e: (e["tag"] == "li") & F.coalesce(attr(e, "id").isin("grid", "list"), F.lit(False))))
+    shown = F.exists("els", lambda e: (e["tag"] == "li") & inside(e, ["#switch"]) & F.coalesce(attr(e, "id").isin("grid", "list"), F.lit(False)))
     text = F.exists("nodes", lambda n: (n["tag"] == "#text") & inside(n, ["body"]) & n["text"].rlike(FILTER_TEXT))
     return F.exists("els", control) | shown | text
 
 
 def pagination_type() -> dict[str, Column]:
     """Static pagination: URL parameter, numbered links, or a next link."""
-    nav = ["pagination", "page-numbers", "pagination-container", "pages-items"]
-    boxes = F.filter("els", lambda e: F.coalesce(F.arrays_overlap(
-        F.split(F.coalesce(attr(e, "class"), F.lit("")), r"\s+"), F.array(*[F.lit(c) for c in nav])), F.lit(False)))
-    hrefs = F.array_compact(F.transform(F.filter("anchors", lambda a: F.exists(
-        boxes, lambda b: (b["seq"] < a["seq"]) & (b["end"] >= a["seq"]))), lambda a: attr(a, "href")))
+    hrefs = F.array_compact(F.transform(F.filter("anchors", lambda a: inside(a, ["#pager"])), lambda a: attr(a, "href")))
     hrefs = F.filter(hrefs, lambda h: ~h.isin("", "#", "javascript:void(0)"))
     linked = first(F.array_compact(F.transform(hrefs, lambda h: F.when(h.rlike(r"[?&]page=[^&#]"), "page").when(
         h.rlike(r"[?&]p=[^&#]"), "p").when(h.rlike(r"/\d+/?$"), "__path__"))))
@@ -128,28 +123,21 @@ def homepage_metadata(parts: DataFrame) -> DataFrame:
 
 
 def main_content(parts: DataFrame) -> DataFrame:
-    """Readable text of the longest content container, else of the body; title and language."""
-    # Elements and class parts that are left out, and content containers.
-    noise = ["script", "noscript", "aside", "form", "style", "footer", "nav"]
-    noisy_class = r"header|footer|nav|pied|chat|whatsapp|back"
-    ranges = F.filter("els", lambda e: ((e["tag"] == "div") & F.coalesce(attr(e, "class").rlike(noisy_class), F.lit(False)))
-                      | ((e["tag"] == "header") & ~inside(e, ["article"]))
-                      | F.coalesce(F.arrays_overlap(F.split(F.coalesce(attr(e, "class"), F.lit("")), r"\s+"),
-                                                    F.array(F.lit("newsletter"), F.lit("copyright"))), F.lit(False)))
-    staged = parts.withColumn("_ranges", ranges)
-    texts = F.filter("nodes", lambda n: (n["tag"] == "#text") & ~inside(n, noise) & ~F.exists(
-        "_ranges", lambda r: (r["seq"] < n["seq"]) & (r["end"] >= n["seq"])))
-    staged = staged.withColumn("_texts", F.transform(texts, lambda n: F.struct(n["seq"].alias("seq"), n["text"].alias("text"))))
+    """Readable text of the longest content container, else of the body; title and language.
+
+    Lengths come from the running text length of the nodes, so containers are compared by two
+    look-ups each, and only the text of the longest (the first of equal ones) is put together.
+    """
+    # Content containers.
     boxes = F.filter("els", lambda e: e["tag"].isin("article", "main") | (e["tag"].isin("section", "div") & (
         (F.coalesce(attr(e, "id"), F.lit("")) == "content"))) | ((e["tag"] == "div") & _class_is(e, "content"))
         | ((e["tag"] == "section") & _class_is(e, "article")))
-    boxes = F.concat(boxes, F.filter("els", lambda e: (e["tag"] == "body") & (F.size(boxes) == 0)))
-
-    def inner(e: Column) -> Column:
-        return F.array_join(F.transform(F.filter("_texts", lambda t: (t["seq"] > e["seq"]) & (t["seq"] <= e["end"])), lambda t: t["text"]), " ")
-
-    found = F.transform(boxes, inner)
-    best = F.aggregate(found, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
+    sized = F.transform(bind_once(boxes, lambda b: F.when(F.size(b) > 0, b).otherwise(tagged(F.col("els"), "body"))), lambda e: F.struct(
+        (F.get(F.col("nodes"), e["end"])["shown"] - e["shown"]).alias("shown"), (-e["seq"]).alias("before"), e["seq"].alias("seq"), e["end"].alias("end")))
+    staged = parts.withColumn("_box", F.array_max(sized))
+    inner = F.slice(F.col("nodes"), F.col("_box.seq") + 2, F.col("_box.end") - F.col("_box.seq"))
+    texts = F.filter(inner, lambda n: (n["tag"] == "#text") & ~inside(n, [*NOISE, "#clutter"]))
+    best = F.coalesce(F.array_join(F.transform(texts, lambda n: n["text"]), " "), F.lit(""))
     heading = _clean(subtext(F.col("nodes"), first(tagged(F.col("heads"), "h1")), " "))
     title = _clean(subtext(F.col("nodes"), first(tagged(F.col("nodes"), "title")), " "))
     return staged.select(

@@ -114,7 +114,7 @@ def product_sections(nodes: str = "nodes", heads: str = "heads") -> Column:
         later = F.filter(h, lambda e: e["seq"] > x["end"])
         stop = F.coalesce(F.array_min(F.transform(later, lambda e: e["seq"])), F.size(nodes))
         span = F.slice(F.col(nodes), x["end"] + 2, stop - x["end"] - 1)
-        texts = F.filter(span, lambda n: (n["tag"] == "#text") & ~n["path"].rlike(r"(script|style)$"))
+        texts = F.filter(span, lambda n: (n["tag"] == "#text") & ~F.coalesce(F.get(F.col(nodes), n["parent"])["tag"].rlike(r"(script|style)$"), F.lit(False)))
         return F.array_join(F.transform(texts, lambda n: n["text"]), " ")
 
     names = F.array_distinct(F.transform(named, lambda x: x["name"]))

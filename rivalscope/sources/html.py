@@ -1,13 +1,21 @@
 """HTML pages to node arrays: the one step that leaves the JVM.
 
 A page keeps its nodes in its own row, in document order, so page features are
-array expressions and no page is shuffled. ``seq`` is the position of a node,
-``end`` the last position inside it, ``path`` the tags above it. Text,
-comments and the doctype are nodes named ``#text``, ``#comment``, ``#doctype``.
+array expressions and no page is shuffled. Text, comments and the doctype are
+nodes named ``#text``, ``#comment``, ``#doctype``.
+
+The one parsing pass has a stack of open elements and gives each node all that
+is asked about its place, in constant space however deep it lies: ``seq``, its
+position; ``end``, the last position inside it; ``above``, one bit for each kind
+of element it lies in (see ``KINDS``); ``scope``, the nearest element above that
+is a microdata item, or -1; ``shown``, the length of readable text up to and
+including it, one more for each piece. So "is it inside", "nearest enclosing" and
+"text length of an element" are look-ups, not tests of nodes against ranges.
 """
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -19,13 +27,44 @@ from ..shipping import ship
 
 ship(__name__)
 
+INTS = ("seq", "end", "parent", "depth", "scope", "shown")
 NODES = T.ArrayType(T.StructType(
-    [T.StructField(n, T.IntegerType()) for n in ("seq", "end", "parent", "depth")]
-    + [T.StructField(n, T.StringType()) for n in ("tag", "path")]
+    [T.StructField(n, T.IntegerType()) for n in INTS]
+    + [T.StructField("above", T.LongType()), T.StructField("tag", T.StringType())]
     + [T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType())]))
 # Elements that hold no content, and elements whose text is not read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = ["script", "style", "nav", "footer", "aside", "header", "noscript"]
+# Elements and class parts outside the main content, classes of page links and of display switches.
+NOISE = ["script", "noscript", "aside", "form", "style", "footer", "nav"]
+NOISY_CLASS = re.compile("header|footer|nav|pied|chat|whatsapp|back")
+NOISY_NAMES = frozenset(("newsletter", "copyright"))
+PAGER_NAMES = frozenset(("pagination", "page-numbers", "pagination-container", "pages-items"))
+SWITCH_NAME = "display"
+#: Kinds of elements a node can be asked to lie in: tags, then ``#clutter`` (outside the main
+#: content by class), ``#pager`` (page links) and ``#switch`` (list display).
+KINDS = ["article", "aside", "body", "footer", "form", "header", "li", "main", "nav", "noscript", "picture", "script", "style", "table",
+         "#clutter", "#pager", "#switch"]
+BITS = {kind: 1 << i for i, kind in enumerate(KINDS)}
+
+
+def bits_of(*kinds: str) -> int:
+    return sum(BITS[k] for k in kinds)
+
+
+def _kinds(tag: str, attrs: dict[str, str], above: int) -> int:
+    """Bits that an element gives to what lies in it."""
+    own = BITS.get(tag, 0)
+    classes = attrs.get("class", "")
+    names = set(re.split(r"[ \t\n\x0b\f\r]+", classes)) if classes else ()
+    if ((tag == "div" and NOISY_CLASS.search(classes)) or (tag == "header" and not above & BITS["article"])
+            or not NOISY_NAMES.isdisjoint(names)):
+        own |= BITS["#clutter"]
+    if not PAGER_NAMES.isdisjoint(names):
+        own |= BITS["#pager"]
+    if tag == "ul" and SWITCH_NAME in names:
+        own |= BITS["#switch"]
+    return own
 
 
 class _Nodes(HTMLParser):
@@ -34,33 +73,42 @@ class _Nodes(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
-        self.open: list[int] = []
+        # position, kinds and innermost microdata item of each open element
+        self.open: list[tuple[int, int, int]] = []
+        self.tags: dict[str, int] = {}
         self.pending: list[str] = []
+        self.shown = 0
+        self.unread = bits_of(*NOISE, "#clutter")
 
-    def _add(self, tag: str, attrs: list[tuple[str, str | None]], text: str | None) -> int:
+    def _add(self, tag: str, attrs: dict[str, str], text: str | None) -> int:
         seq = len(self.rows)
-        parent = self.open[-1] if self.open else -1
-        path = "" if parent < 0 else (self.rows[parent][5] + " " + self.rows[parent][4]).strip()
-        self.rows.append([seq, seq, parent, len(self.open), tag, path, attrs, text])
+        parent, above, scope = self.open[-1] if self.open else (-1, 0, -1)
+        if tag == "#text" and not above & self.unread:
+            self.shown += len(text) + 1
+        self.rows.append([seq, seq, parent, len(self.open), scope, self.shown, above, tag, list(attrs.items()), text])
         return seq
 
     def _flush(self) -> None:
         text = "".join(self.pending).strip()
         self.pending.clear()
         if text:
-            self._add("#text", [], text)
+            self._add("#text", {}, text)
 
     def _close(self) -> None:
-        self.rows[self.open.pop()][1] = len(self.rows) - 1
+        row = self.rows[self.open.pop()[0]]
+        row[1] = len(self.rows) - 1
+        self.tags[row[7]] -= 1
 
     def handle_starttag(self, tag, attrs):
         self._flush()
         seen: dict[str, str] = {}
         for name, value in attrs:
             seen[name] = value or ""
-        seq = self._add(tag, list(seen.items()), None)
+        seq = self._add(tag, seen, None)
         if tag not in VOID:
-            self.open.append(seq)
+            _, above, scope = self.open[-1] if self.open else (-1, 0, -1)
+            self.open.append((seq, above | _kinds(tag, seen, above), seq if "itemscope" in seen else scope))
+            self.tags[tag] = self.tags.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -69,8 +117,8 @@ class _Nodes(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if any(self.rows[i][4] == tag for i in self.open):
-            while self.rows[self.open[-1]][4] != tag:
+        if self.tags.get(tag):
+            while self.rows[self.open[-1][0]][7] != tag:
                 self._close()
             self._close()
 
@@ -79,11 +127,11 @@ class _Nodes(HTMLParser):
 
     def handle_comment(self, data):
         self._flush()
-        self._add("#comment", [], data.strip())
+        self._add("#comment", {}, data.strip())
 
     def handle_decl(self, decl):
         self._flush()
-        self._add("#doctype", [], decl)
+        self._add("#doctype", {}, decl)
 
     def finish(self) -> list[list]:
         self.close()
@@ -101,25 +149,24 @@ def _nodes_of(html: str | None) -> list[list]:
 
 @F.arrow_udf(NODES)
 def _parse(pages: pa.Array) -> pa.Array:
-    offsets, cols = [0], [[] for _ in range(6)]
+    offsets, cols = [0], [[] for _ in range(len(INTS) + 2)]
     texts: list[str | None] = []
     map_offsets, keys, values = [0], [], []
     for html in pages.to_pylist():
-        for row in _nodes_of(html):
-            for col, value in zip(cols, row):
+        for *plain, attrs, text in _nodes_of(html):
+            for col, value in zip(cols, plain):
                 col.append(value)
-            for k, v in row[6]:
+            for k, v in attrs:
                 keys.append(k)
                 values.append(v)
             map_offsets.append(len(keys))
-            texts.append(row[7])
+            texts.append(text)
         offsets.append(len(texts))
-    ints = [pa.array(c, pa.int32()) for c in cols[:4]]
-    strings = [pa.array(c, pa.string()) for c in cols[4:]]
+    kinds = [pa.int32()] * len(INTS) + [pa.int64(), pa.string()]
     attrs = pa.MapArray.from_arrays(pa.array(map_offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
     nodes = pa.StructArray.from_arrays(
-        [*ints, *strings, attrs, pa.array(texts, pa.string())],
-        names=["seq", "end", "parent", "depth", "tag", "path", "attrs", "text"])
+        [*[pa.array(c, k) for c, k in zip(cols, kinds)], attrs, pa.array(texts, pa.string())],
+        names=[*INTS, "above", "tag", "attrs", "text"])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)
 
 
@@ -129,13 +176,13 @@ def with_nodes(pages: DataFrame, html: str = "html", name: str = "nodes") -> Dat
 
 
 def page_elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Long table of nodes: page_id, seq, end, parent, depth, tag, path, attrs, text."""
+    """Long table of nodes: page_id, seq, end, parent, depth, scope, shown, above, tag, attrs, text."""
     return with_nodes(pages.select(key, html), html).select(key, F.inline("nodes"))
 
 
-def inside(node: Column, tags: list[str]) -> Column:
-    """Whether any element above a node has one of the tags."""
-    return node["path"].rlike(r"(^| )(" + "|".join(tags) + r")( |$)")
+def inside(node: Column, kinds: list[str]) -> Column:
+    """Whether any element above a node is of one of the ``KINDS``."""
+    return node["above"].bitwiseAND(F.lit(bits_of(*kinds)).cast("bigint")) != 0
 
 
 def visible_text(nodes: Column) -> Column:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from rivalscope.plans import audit, page_features as pf, page_types, products
-from rivalscope.sources.html import page_elements
+from rivalscope.sources.html import BITS, page_elements
 
 HTML = """<!DOCTYPE html><html lang="FR"><head><title> Best drill | Shop - now now </title>
 <meta name="Description" content="Buy now the drill"><meta property="og:title" content="T1"><meta property="og:title" content="T2">
@@ -31,7 +31,7 @@ def test_nodes_keep_order_and_nesting(spark):
         assert r.end >= r.seq
         if r.parent >= 0:
             p = by_seq[r.parent]
-            assert p.seq < r.seq and p.end >= r.end and r.path.split()[-1] == p.tag
+            assert p.seq < r.seq and p.end >= r.end and r.above & p.above == p.above and r.above & BITS.get(p.tag, 0) == BITS.get(p.tag, 0)
 
 
 def test_features(spark):
@@ -112,3 +112,35 @@ def test_asset_caching_limit(spark):
     a = spark.createDataFrame(rows, "page_id int, resource_type string, url string, status_code int, headers map<string,string>")
     assert audit.asset_caching(a, 10).count() == 10
     assert audit.asset_caching(a).filter(F.col("has_etag")).count() == 15
+
+
+def test_deep_nesting_stays_linear(spark):
+    """10,000 elements inside each other: places of nodes take constant space, features come from look-ups."""
+    deep = 10_000
+    html = ("<html><body>" + "<div class='content'>" * deep + "<span itemscope><b itemprop='name'>x</b></span><a href='/p/2'>2</a>"
+            + "</div>" * deep + "<ul class='pagination'><li><a href='?page=2'>2</a></li></ul></body></html>")
+    rows = page_elements(pages(spark, html)).select("seq", "end", "depth", "above", "scope", "tag").collect()
+    assert max(r.depth for r in rows) == deep + 4 and all(r.end < len(rows) for r in rows)
+    assert [r.scope >= 0 for r in rows if r.tag == "b"] == [True]
+    parts = pf.page_parts(pages(spark, html))
+    got = parts.select(F.size(pf.microdata()).alias("n"), page_types.pagination_type()["pagination_pattern"].alias("p")).collect()[0]
+    assert (got.n, got.p) == (1, "page")
+    assert page_types.main_content(parts).collect()[0].text == "x 2"
+
+
+def test_main_content_is_the_longest_container(spark):
+    html = ("<body><div id='content'>abc<nav>menu</nav></div><main>ab<div class='my-footer'>a very long line left out</div>"
+            "<p class='x copyright'>left</p><p>cd</p></main><article><header>kept</header></article><section class='article'>12345</section></body>")
+    assert page_types.main_content(pf.page_parts(pages(spark, html))).collect()[0].text == "ab cd"
+    tie = "<body><main>abcd</main><article>wxyz</article></body>"
+    assert page_types.main_content(pf.page_parts(pages(spark, tie))).collect()[0].text == "abcd"
+    assert page_types.main_content(pf.page_parts(pages(spark, "<body><p>only <i>this</i></p></body>"))).collect()[0].text == "only this"
+    assert page_types.main_content(pf.page_parts(pages(spark, ""))).collect()[0].text == ""
+
+
+def test_microdata_of_nested_items(spark):
+    html = ("<div itemscope itemtype=A><i itemprop=n>1</i><div itemprop=o itemscope itemtype=B><i itemprop=m>2</i></div><i itemprop=k>3</i></div>"
+            "<div itemscope><i itemprop=z>4</i></div><i itemprop=stray>5</i><div itemscope></div>")
+    got = pf.page_parts(pages(spark, html)).select(pf.microdata().alias("m")).collect()[0].m
+    assert [(i.type, [(p.name, p.value) for p in i.properties]) for i in got] == [
+        ("A", [("n", "1"), ("o", "B"), ("k", "3")]), ("UnknownType", [("z", "4")])]
