@@ -8,6 +8,7 @@ from ..functions import rules as fr
 from ..functions import text as ft
 from ..operators import relational as rel
 from ..operators import series
+from ..operators.quantiles import exact_median, exact_quantile
 from ..plans import competitors as comp
 from ..plans import issues, market, social
 from ..sinks import upserts
@@ -419,6 +420,18 @@ def _(spark, d):
     return bind(spark, d, "lineitem").groupBy("l_suppkey").agg(fixed(F.median("l_quantity"), 4).alias("m"))
 
 
+_NET = "CAST(l_extendedprice AS DOUBLE) * (1 - CAST(l_discount AS DOUBLE))"
+
+
+@query("agg_04_exact_median", f"""SELECT l_returnflag, {R('median(x)', 4)} AS m, {R('quantile_cont(x, 0.9)', 4)} AS p90
+FROM (SELECT l_returnflag, {_NET} AS x FROM lineitem) GROUP BY l_returnflag""")
+def _(spark, d):
+    rows = bind(spark, d, "lineitem").select("l_returnflag", F.expr(_NET).alias("x"))
+    mid = exact_median(rows, ["l_returnflag"], "x", "m")
+    high = exact_quantile(rows, ["l_returnflag"], "x", 0.9, "p90")
+    return mid.join(high, "l_returnflag").select("l_returnflag", fixed("m", 4).alias("m"), fixed("p90", 4).alias("p90"))
+
+
 @query("agg_05_stddev", f"SELECT l_orderkey, {R('stddev_samp(l_quantity)', 4)} AS s FROM lineitem GROUP BY l_orderkey")
 def _(spark, d):
     return bind(spark, d, "lineitem").groupBy("l_orderkey").agg(fixed(F.stddev_samp("l_quantity"), 4).alias("s"))

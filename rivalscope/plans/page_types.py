@@ -81,14 +81,17 @@ def main_heading() -> Column:
         (F.size(h1) == 0) & (F.size(texts("h2")) == 1), first(texts("h2"))))
 
 
-def classify_pages(parts: DataFrame) -> DataFrame:
-    """Page type, URL class and pagination of each page."""
+def classify_pages(parts: DataFrame, url_class: Column | None = None) -> DataFrame:
+    """Page type, URL class and pagination of each page.
+
+    ``url_class`` is the class of the URL where it is known beforehand, such as ``home``; else it is found from the URL.
+    """
     squeezed = F.lower(F.replace(main_heading(), F.lit(" "), F.lit("")))
     title = subtext(F.col("nodes"), first(tagged(F.col("nodes"), "title")))
     objs = F.filter(json_ld_nodes(json_ld_texts()), lambda o: F.lower(F.get_json_object(o, "$['@type']")) == "product")
     named = (squeezed == F.get_json_object(first(objs), "$.name")) | (squeezed == F.lower(F.replace(title, F.lit(" "), F.lit(""))))
     base = parts.withColumns({
-        "url_class": classify_url("url"), "schema_product": has_schema_product(),
+        "url_class": classify_url("url") if url_class is None else url_class, "schema_product": has_schema_product(),
         "single_product_named": (F.size(objs) == 1) & F.coalesce(named, F.lit(False)),
         "filters": has_filter_controls(), **pagination_type()})
     kind = page_type(F.col("url_class"), {

@@ -23,6 +23,8 @@ def build_session(app: str = "rivalscope", master: str | None = None, **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # pages and texts differ in size: batches for Python are bounded in bytes, not only in rows
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.ui.enabled": "false",
