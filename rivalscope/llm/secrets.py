@@ -7,7 +7,10 @@ whole text; neighbouring tags score too, and I may follow B or I alone. Spans ar
 the tags of the Viterbi path.
 
 Training is weakly supervised: the base patterns first mark every document that has
-a match. At most ``sample`` documents are fitted, by smallest seeded hashes of the
+a match. In half of the texts, by a hash, key words are hidden: their tokens look like
+any word and only the value is tagged; in half of those, the words of a match before its value are
+left out as well. So the value's own shape and its neighbours carry weight, and values under
+other names, or under none, are found as well. At most ``sample`` documents are fitted, by smallest seeded hashes of the
 id: up to half of them from those with a match, the others from those without. Of the
 windows around matches and at one seeded place of each text, at most four times
 ``sample`` (those without a secret, at most one a text, then smallest seeded hashes) are fitted by
@@ -48,8 +51,10 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "crf")
 LEAST_HEX, LEAST_ACCESS, LEAST_VALUE = 24, 20, 6
 
-N_SHAPES = 4 * 5 * 4 * 2
+N_SHAPES = 4 * 6 * 4 * 2
 N_FILE = 8
+#: The bit of a shape that tells a key word.
+KEY = 1
 #: Places whose shape a token sees, relative to it.
 PLACES = (-2, -1, 0, 1)
 O, B, I = 0, 1, 2  # noqa: E741
@@ -57,11 +62,12 @@ NEVER = -1e9
 
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
-_KIND = np.zeros((256, 4), np.int32)  # digit, lower case or beyond ASCII, upper case, = or :
+_KIND = np.zeros((256, 5), np.int32)  # digit, lower case or beyond ASCII, upper case, = or :, @ or / as in addresses
 _KIND[list(b"0123456789"), 0] = 1
 _KIND[list(range(97, 123)) + list(range(128, 256)), 1] = 1
 _KIND[list(range(65, 91)), 2] = 1
 _KIND[list(b"=:"), 3] = 1
+_KIND[list(b"@/"), 4] = 1
 
 
 def _runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,10 +114,11 @@ def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         at = np.cumsum([0, *map(len, KEYWORDS)])
         _KEYWORD_HASHES = np.sort(span_hashes(joined, at[:-1], at[1:]))
     length = ends - starts
-    total = [np.concatenate([[0], np.cumsum(_KIND[data, k])]) for k in range(4)]
-    digit, lower, upper, sep = ((t[ends] - t[starts]) for t in total)
+    total = [np.concatenate([[0], np.cumsum(_KIND[data, k])]) for k in range(5)]
+    digit, lower, upper, sep, address = ((t[ends] - t[starts]) for t in total)
     letters = lower + upper
     mixed = np.where(letters == 0, np.where(digit > 0, 2, 4), np.where(digit > 0, 3, np.where((upper > 1) & (lower > 0), 1, 0)))
+    mixed = np.where((address > 0) & (letters > 0), 5, mixed)
     size = np.searchsorted([6, 12, 24], length, "right")
     ends_sep = _KIND[data[ends - 1], 3] > 0
     marks = np.where(sep == 0, 0, np.where(sep == length, 1, np.where(ends_sep, 2, 3)))
@@ -121,12 +128,12 @@ def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     a = np.where((length > 1) & ~plain[a], a + 1, a)
     b = np.where((b - a > 1) & ~plain[b - 1], b - 1, b)
     key = np.isin(span_hashes(lowered(data), a, b), _KEYWORD_HASHES)
-    return (((size * 5 + mixed) * 4 + marks) * 2 + key).astype(np.int32)
+    return (((size * 6 + mixed) * 4 + marks) * 2 + key).astype(np.int32)
 
 
 def file_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A small number for each text: shares of digits, separators and upper case, each low or high."""
-    total = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(_KIND[data], axis=0)]) if len(data) else np.zeros((1, 4), np.int64)
+    total = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(_KIND[data], axis=0)]) if len(data) else np.zeros((1, 5), np.int64)
     n = np.maximum(np.diff(offsets), 1)[:, None]
     share = (total[offsets[1:]] - total[offsets[:-1]]) / n
     return ((share[:, 0] > 0.02) * 4 + (share[:, 3] > 0.01) * 2 + (share[:, 2] > 0.1)).astype(np.int32)
@@ -230,9 +237,16 @@ def training_windows(docs: DataFrame, sample: int, seed: int, around: int = 6) -
                     lo, hi = int(first_word[i]), int(first_word[i + 1])
                     tags = np.zeros(hi - lo, np.int8)
                     s, e = starts[lo:hi] - offsets[i], ends[lo:hi] - offsets[i]
-                    places = [zlib.crc32(b"%d %d" % (seed, hi - lo) + data[offsets[i]:offsets[i + 1]].tobytes()) % (hi - lo)] if hi > lo else []
-                    for a, _, b in spans:
+                    draw = zlib.crc32(b"%d %d" % (seed, hi - lo) + data[offsets[i]:offsets[i + 1]].tobytes())
+                    places = [draw % (hi - lo)] if hi > lo else []
+                    hidden, bare = bool(draw >> 31), draw >> 30 == 3
+                    own = shape[lo:hi] & ~KEY if hidden else shape[lo:hi]
+                    there = np.ones(hi - lo, bool)
+                    for a, kind, b in spans:
                         x, y = int(np.searchsorted(e, a, "right")), int(np.searchsorted(s, b, "left"))
+                        if hidden and kind == 0:  # a value has no blanks: it is the last token
+                            there[x:y - 1] = not bare
+                            x = y - 1
                         if not tags[x:y].any():
                             tags[x:y] = I
                             tags[x] = B
@@ -244,8 +258,8 @@ def training_windows(docs: DataFrame, sample: int, seed: int, around: int = 6) -
                             y += 1
                         while x > done + 1 and tags[x] == I:
                             x -= 1
-                        if x < y:
-                            rows.append({"shape": shape[lo + x:lo + y].tolist(), "file": int(file[i]), "tags": tags[x:y].tolist(),
+                        if there[x:y].any():
+                            rows.append({"shape": own[x:y][there[x:y]].tolist(), "file": int(file[i]), "tags": tags[x:y][there[x:y]].tolist(),
                                          "any": bool(tags[x:y].any())})
                             done = y - 1
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("shape", pa.list_(pa.int32())), ("file", pa.int32()),
@@ -256,86 +270,108 @@ def training_windows(docs: DataFrame, sample: int, seed: int, around: int = 6) -
     return [r.asDict() for r in found.orderBy("any", order, "shape", "file", "tags").limit(4 * sample).collect()]
 
 
-def fit_field(windows: list[dict], rounds: int = 60, rate: float = 0.3, decay: float = 1e-3) -> Field | None:
+class Windows:
+    """Training windows side by side, longest first, with what their likelihood needs."""
+
+    def __init__(self, windows: list[dict]) -> None:
+        windows = sorted(windows, key=lambda w: (-len(w["shape"]), w["shape"], w["tags"]))
+        self.n, self.length = len(windows), len(windows[0]["shape"])
+        shape = np.full((self.n, self.length), -1, np.int64)
+        self.tags = np.zeros((self.n, self.length), np.int64)
+        self.file = np.array([w["file"] for w in windows])
+        self.size = np.array([len(w["shape"]) for w in windows])
+        for i, w in enumerate(windows):
+            shape[i, :self.size[i]], self.tags[i, :self.size[i]] = w["shape"], w["tags"]
+        self.live = np.arange(self.length)[None, :] < self.size[:, None]
+        self.seen = []
+        for place in PLACES:
+            there = np.full_like(shape, -1)
+            if place < 0:
+                there[:, -place:] = shape[:, :place]
+            elif place:
+                there[:, :-place] = shape[:, place:]
+            else:
+                there = shape
+            # By place, then window; one shape more, of no weight, beyond the ends.
+            self.seen.append(np.ascontiguousarray(np.where(self.live & (there >= 0), there, N_SHAPES).T))
+        #: Windows longer than each place; those come first.
+        self.counts = [int((self.size > t).sum()) for t in range(self.length)]
+        #: How often each tag follows another, from and to the O around a window.
+        self.moves = np.zeros((3, 3))
+        np.add.at(self.moves[O], self.tags[:, 0], 1.0)
+        np.add.at(self.moves[:, O], self.tags[np.arange(self.n), self.size - 1], 1.0)
+        for t in range(1, self.length):
+            np.add.at(self.moves, (self.tags[:self.counts[t], t - 1], self.tags[:self.counts[t], t]), 1.0)
+        self.live = np.ascontiguousarray(self.live.T)
+        self.hot = np.eye(3)[self.tags.T] * self.live[:, :, None]
+
+
+def barred() -> np.ndarray:
+    bar = np.zeros((3, 3))
+    bar[O, I] = NEVER
+    return bar
+
+
+def likelihood(w: Windows, theta: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+    """Log-likelihood of the windows' tags, summed, and its slope by forward and backward sums, scaled place by place."""
+    n, length, counts = w.n, w.length, w.counts
+    move = theta["move"] + barred()
+    m_ = np.exp(move)
+    node = np.repeat(theta["file"][w.file][None], length, axis=0)
+    for k, s in enumerate(w.seen):
+        node += np.concatenate([theta["shape"][k], np.zeros((1, 3))])[s]
+    top = node.max(axis=2)
+    e = np.exp(node - top[:, :, None])
+    alpha, beta, scale = np.zeros((length, n, 3)), np.zeros((length, n, 3)), np.ones((length, n))
+    for t in range(length):
+        m = counts[t]
+        step = (m_[O] if t == 0 else alpha[t - 1, :m] @ m_) * e[t, :m]
+        scale[t, :m] = step.sum(axis=1)
+        alpha[t, :m] = step / scale[t, :m, None]
+    last = w.size - 1
+    closing = alpha[last, np.arange(n)] @ m_[:, O]
+    beta[last, np.arange(n)] = m_[:, O][None] / closing[:, None]
+    grad = {k: np.zeros_like(v) for k, v in theta.items()}
+    for t in range(length - 1, 0, -1):
+        m = counts[t]
+        ahead = e[t, :m] * beta[t, :m] / scale[t, :m, None]
+        beta[t - 1, :m] = ahead @ m_.T
+        grad["move"] -= m_ * (alpha[t - 1, :m].T @ ahead)
+    chance = alpha * beta
+    grad["move"][O] -= chance[0].sum(axis=0)
+    grad["move"][:, O] -= chance[last, np.arange(n)].sum(axis=0)
+    grad["move"] += w.moves
+    slope = w.hot - chance
+    by_tag = np.ascontiguousarray(slope.reshape(-1, 3).T)
+    for k, s in enumerate(w.seen):
+        for tag in range(3):
+            grad["shape"][k][:, tag] = np.bincount(s.ravel(), by_tag[tag], N_SHAPES + 1)[:N_SHAPES]
+    np.add.at(grad["file"], w.file, slope.sum(axis=0))
+    total = (node * w.hot).sum() + (w.moves * move).sum() - np.log(scale).sum() - (top * w.live).sum() - np.log(closing).sum()
+    return float(total), grad
+
+
+def fit_field(windows: list[dict], rounds: int = 120, rate: float = 0.3, decay: float = 1e-3) -> Field | None:
     """Maximum likelihood by Adam steps; None where no window holds a secret."""
     if not any(w["any"] for w in windows):
         return None
-    windows = sorted(windows, key=lambda w: (-len(w["shape"]), w["shape"], w["tags"]))
-    n, length = len(windows), len(windows[0]["shape"])
-    shape = np.full((n, length), -1, np.int64)
-    tags = np.zeros((n, length), np.int64)
-    file = np.array([w["file"] for w in windows])
-    size = np.array([len(w["shape"]) for w in windows])
-    for i, w in enumerate(windows):
-        shape[i, :size[i]], tags[i, :size[i]] = w["shape"], w["tags"]
-    live = np.arange(length)[None, :] < size[:, None]
-    seen = []
-    for place in PLACES:
-        there = np.full_like(shape, -1)
-        if place < 0:
-            there[:, -place:] = shape[:, :place]
-        elif place:
-            there[:, :-place] = shape[:, place:]
-        else:
-            there = shape
-        seen.append(np.where(live, there, -1))
+    batch = Windows(windows)
     theta = {"shape": np.zeros((len(PLACES), N_SHAPES, 3)), "file": np.zeros((N_FILE, 3)), "move": np.zeros((3, 3))}
-    bar = np.zeros((3, 3))
-    bar[O, I] = NEVER
     slow = {k: np.zeros_like(v) for k, v in theta.items()}
     fast = {k: np.zeros_like(v) for k, v in theta.items()}
-    hot = np.eye(3)[tags] * live[:, :, None]
-    counts = [int((size > t).sum()) for t in range(length)]
     for step in range(1, rounds + 1):
-        move = theta["move"] + bar
-        node = theta["file"][file][:, None, :] + sum(np.where((s >= 0)[:, :, None], theta["shape"][k][s], 0) for k, s in enumerate(seen))
-        alpha, beta = np.zeros((n, length, 3)), np.zeros((n, length, 3))
-        alpha[:, 0] = move[O] + node[:, 0]
-        for t in range(1, length):
-            m = counts[t]
-            x = alpha[:m, t - 1, :, None] + move[None]
-            top = x.max(axis=1)
-            alpha[:m, t] = top + np.log(np.exp(x - top[:, None]).sum(axis=1)) + node[:m, t]
-        beta[np.arange(n), size - 1] = move[:, O]
-        for t in range(length - 2, -1, -1):
-            m = counts[t + 1]
-            x = move[None] + (node[:m, t + 1] + beta[:m, t + 1])[:, None, :]
-            top = x.max(axis=2)
-            beta[:m, t] = top + np.log(np.exp(x - top[:, :, None]).sum(axis=2))
-        z = alpha[:, 0] + beta[:, 0]
-        top = z.max(axis=1)
-        z = top + np.log(np.exp(z - top[:, None]).sum(axis=1))
-        slope = hot - np.exp(alpha + beta - z[:, None, None]) * live[:, :, None]
-        grad = {k: -decay * n / 100 * v for k, v in theta.items()}
-        for k, s in enumerate(seen):
-            ok = s >= 0
-            np.add.at(grad["shape"][k], s[ok], slope[ok])
-        np.add.at(grad["file"], file, slope.sum(axis=1))
-        for t in range(length + 1):
-            if t == 0:
-                pair = np.exp(move[O][None] + node[:, 0] + beta[:, 0] - z[:, None])
-                np.add.at(grad["move"][O], tags[:, 0], 1.0)
-                grad["move"][O] -= pair.sum(axis=0)
-                continue
-            m = counts[t] if t < length else 0
-            if m:
-                pair = np.exp(alpha[:m, t - 1, :, None] + move[None] + (node[:m, t] + beta[:m, t])[:, None, :] - z[:m, None, None])
-                np.add.at(grad["move"], (tags[:m, t - 1], tags[:m, t]), 1.0)
-                grad["move"] -= pair.sum(axis=0)
-        ends = alpha[np.arange(n), size - 1] + move[:, O][None] - z[:, None]
-        np.add.at(grad["move"][:, O], tags[np.arange(n), size - 1], 1.0)
-        grad["move"][:, O] -= np.exp(ends).sum(axis=0)
+        _, grad = likelihood(batch, theta)
         for k in theta:
-            g = grad[k] / n
+            g = grad[k] / batch.n - decay / 100 * theta[k]
             slow[k] = 0.9 * slow[k] + 0.1 * g
             fast[k] = 0.99 * fast[k] + 0.01 * g * g
             theta[k] += rate * (slow[k] / (1 - 0.9 ** step)) / (np.sqrt(fast[k] / (1 - 0.99 ** step)) + 1e-8)
-    return Field(theta["shape"], theta["file"], theta["move"] + bar)
+    return Field(theta["shape"], theta["file"], theta["move"] + barred())
 
 
 # ------------------------------------------------------------------ decoding
 
-def find_secrets(docs: DataFrame, sample: int = 6_000, seed: int = 5) -> DataFrame:
+def find_secrets(docs: DataFrame, sample: int = 20_000, seed: int = 5) -> DataFrame:
     """(doc_id, spans) of all documents; spans are (kind, start, end) in code points, by start and kind."""
     model = fit_field(training_windows(docs, sample, seed))
 
@@ -376,7 +412,7 @@ def sha256_of(spans: list[tuple[str, int, int]]) -> str:
     return hashlib.sha256(joined(spans).encode()).hexdigest()
 
 
-def secret_report(docs: DataFrame, sample: int = 6_000, seed: int = 5) -> DataFrame:
+def secret_report(docs: DataFrame, sample: int = 20_000, seed: int = 5) -> DataFrame:
     """Counts of base spans by kind, the digest of base spans, and all spans as text."""
     found = find_secrets(docs, sample, seed)
     text = lambda spans: F.array_join(F.transform(
