@@ -513,6 +513,36 @@ def test_secret_fit_finds_rare_matches(spark):
         assert secrets.training_windows(docs.where("doc_id <> 150"), 10, 5) == []
 
 
+def test_slope_of_the_field_by_enumeration():
+    """Likelihood and slope against sums over every path of short windows."""
+    rng = np.random.default_rng(5)
+    windows = []
+    for n in (1, 3, 4, 4, 5):
+        tags = [0, 1, 2, 0, 1][:n]
+        windows.append({"shape": rng.integers(0, 4, n).tolist(), "file": int(rng.integers(0, 3)), "tags": tags, "any": n > 1})
+    batch = secrets.Windows(windows)
+    theta = {"shape": rng.normal(size=(len(secrets.PLACES), secrets.N_SHAPES, 3)), "file": rng.normal(size=(secrets.N_FILE, 3)), "move": rng.normal(size=(3, 3))}
+
+    def total(theta):
+        move, out = theta["move"] + secrets.barred(), 0.0
+        for w in windows:
+            n = len(w["shape"])
+            node = [theta["file"][w["file"]] + sum(theta["shape"][k][w["shape"][t + p]] for k, p in enumerate(secrets.PLACES) if 0 <= t + p < n) for t in range(n)]
+            score = lambda p: sum(move[a, b] for a, b in itertools.pairwise([0, *p, 0])) + sum(node[t][x] for t, x in enumerate(p))  # noqa: E731, B023
+            out += score(w["tags"]) - np.logaddexp.reduce([score(p) for p in itertools.product(range(3), repeat=n)])
+        return out
+
+    value, grad = secrets.likelihood(batch, theta)
+    assert math.isclose(value, total(theta), rel_tol=1e-9)
+    for name in theta:
+        for at in itertools.product(*map(range, theta[name].shape)):
+            if name == "shape" and at[1] > 4 or name == "move" and at[:2] == (0, 2):
+                continue
+            moved = {k: v.copy() for k, v in theta.items()}
+            moved[name][at] += 1e-5
+            assert math.isclose((total(moved) - value) / 1e-5, grad[name][at], abs_tol=1e-3), (name, at)
+
+
 def test_viterbi_keeps_a_weak_token_inside_a_long_span():
     move = np.array([[0.0, -4, secrets.NEVER], [0, -4, -4], [-4, -4, 4]])
     for n in (9, 11, 15):
