@@ -34,10 +34,10 @@ ANALYTICS = {
 MIXED_ATTRS = {"img": "src", "script": "src", "link": "href", "iframe": "src", "video": "src", "audio": "src", "source": "src"}
 
 
-def page_parts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def page_parts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", closed_only: bool = False) -> DataFrame:
     """Page rows with nodes, visible text and the element groups the features read."""
     base = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    n = with_nodes(base)
+    n = with_nodes(base, closed_only=closed_only)
     return n.select(
         "page_id", "url", "html", "nodes", base_parts("url").alias("base"), visible_text(F.col("nodes")).alias("visible_text"),
         elements(F.col("nodes")).alias("els"), tagged(F.col("nodes"), "meta").alias("metas"),
@@ -401,8 +401,8 @@ def pick(parts: DataFrame, *groups: dict[str, Column]) -> DataFrame:
     return parts.select("page_id", "url", *[c.alias(n) for n, c in cols.items()])
 
 
-def audit_features(pages: DataFrame, keyword: str | None = None, **names: str) -> DataFrame:
-    """All page features as one wide row per page."""
+def audit_features(pages: DataFrame, keyword: str | None = None, **names) -> DataFrame:
+    """All page features as one wide row per page; ``names``: see :func:`page_parts`."""
     parts = with_links(page_parts(pages, **names))
     url = url_friendliness("url")
     wide = pick(parts, title_features(keyword), meta_description_features(keyword), heading_features(keyword),

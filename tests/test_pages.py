@@ -144,3 +144,15 @@ def test_microdata_of_nested_items(spark):
     got = pf.page_parts(pages(spark, html)).select(pf.microdata().alias("m")).collect()[0].m
     assert [(i.type, [(p.name, p.value) for p in i.properties]) for i in got] == [
         ("A", [("n", "1"), ("o", "B"), ("k", "3")]), ("UnknownType", [("z", "4")])]
+
+
+def test_open_references(spark):
+    """By the standard ``&amp`` counts without its semicolon; with ``closed_only`` it stays as written, scripts too."""
+    html = "<title>a&amp;&amp</title><a href='/x?b=1&amp;c&amp'>t &#65;&#66 R&D &am</a><script>if (a&&b) '&amp;&amp'</script>\ue000"
+    std = pf.page_parts(pages(spark, html)).collect()[0]
+    own = pf.page_parts(pages(spark, html), closed_only=True).collect()[0]
+    assert [n.text for n in std.nodes if n.tag == "#text"] == ["a&&", "t AB R&D &am", "if (a&&b) '&amp;&amp'", "\ue000"]
+    assert [n.text for n in own.nodes if n.tag == "#text"] == ["a&&amp", "t A&#66 R&D &am", "if (a&&b) '&amp;&amp'", "\ue000"]
+    assert std.anchors[0].attrs["href"] == "/x?b=1&c&" and own.anchors[0].attrs["href"] == "/x?b=1&c&amp"
+    title = pf.pick(pf.page_parts(pages(spark, html), closed_only=True), pf.title_features()).collect()[0]
+    assert (title.title, title.title_length) == ("a&&amp", 6)
