@@ -1,9 +1,11 @@
 """What a step holds or moves must not grow faster than its input."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rivalscope.operators import vectors as vx
+from rivalscope.sources import html
 
 
 def test_signature_search_moves_each_vector_once(spark):
@@ -28,3 +30,12 @@ def test_signature_search_moves_each_vector_once(spark):
             want[i, rank] = j
     assert {key: v[0] for key, v in found().items()} == want
     assert found(rows=40, per_tile=70) == found()
+
+
+def test_nodes_leave_in_slices():
+    """A batch of many pages is never held as nodes at once; slices join to the same nodes."""
+    pages = [f"<p id=a>{'x ' * 40_000}</p>" for _ in range(40)] + [None, "", "<b>" + "y" * (2 * html.SLICE_LETTERS)]
+    out = list(html._parser(False).func(iter([pa.array(pages), pa.array([], pa.string()), pa.array(["<i>z"])])))
+    assert sum(map(len, out)) == len(pages) + 1
+    assert max(sum(len(n["text"] or "") for page in part.to_pylist() for n in page) for part in out[:-2]) <= html.SLICE_LETTERS
+    assert pa.concat_arrays(out).to_pylist() == html._node_arrays([*pages, "<i>z"], False).to_pylist()
