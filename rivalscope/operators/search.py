@@ -1,9 +1,10 @@
 """Substring search through an index of three-letter grams.
 
-Postings hold one row for each column, gram and row key. A search takes the rarest
-grams of its text, keeps the keys that hold all of them in one column, and confirms
-these rows on the text itself. Only the index parts of the chosen grams and the
-confirmed rows are read; texts without three letters in a row scan the table.
+Rows hold the key, column and text of each row. Postings hold one row for each column, gram and
+distinct text, so a text that many rows share is cut into grams once. A search takes the rarest
+grams of its text, keeps the texts that hold all of them in one column, and confirms the rows of
+these texts on the text itself. Only the index parts of the chosen grams and the confirmed rows are
+read, and keys and text numbers; texts without three letters in a row scan the table.
 """
 
 from __future__ import annotations
@@ -26,10 +27,17 @@ def grams(text: Column) -> Column:
     return F.when(n >= 0, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
-def gram_index(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """(gram, column, key): postings; nothing is grouped, so a frequent gram is no hot key here."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), grams(F.col(c)).alias("grams")) for c in columns]))
-    return df.select(key, each.alias("_c")).select(F.explode("_c.grams").alias("gram"), F.col("_c.column").alias("column"), key)
+def text_rows(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, column, text, text_id). Equal numbers of different texts cost a confirmation, they lose nothing."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in columns]))
+    rows = df.select(key, each.alias("_c")).select(key, "_c.column", "_c.text").filter("text is not null")
+    return rows.withColumn("text_id", F.xxhash64("text"))
+
+
+def gram_index(rows: DataFrame) -> DataFrame:
+    """(gram, column, text_id): postings of the distinct texts of :func:`text_rows`; nothing is grouped by gram, so a frequent one is no hot key here."""
+    return (rows.select("column", "text", "text_id").distinct()
+            .select(F.explode(grams(F.col("text"))).alias("gram"), "column", "text_id"))
 
 
 def _part(gram: Column, parts: int) -> Column:
@@ -37,8 +45,9 @@ def _part(gram: Column, parts: int) -> Column:
 
 
 def write_gram_index(df: DataFrame, key: str, columns: Sequence[str], folder: str, parts: int = 64) -> None:
-    """Store the postings by parts of grams, and how many postings each gram has."""
-    (gram_index(df, key, columns).withColumn("part", _part(F.col("gram"), parts))
+    """Store the rows' texts, the postings by parts of grams, and how many postings each gram has."""
+    text_rows(df, key, columns).write.mode("overwrite").parquet(f"{folder}/rows")
+    (gram_index(df.sparkSession.read.parquet(f"{folder}/rows")).withColumn("part", _part(F.col("gram"), parts))
      .write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings"))
     stored = df.sparkSession.read.parquet(f"{folder}/postings")
     (stored.groupBy("part", "gram").agg(F.count(F.lit(1)).alias("n"))
@@ -66,10 +75,11 @@ def candidates(spark: SparkSession, folder: str, key: str, text: str, parts: int
 
     sizes = {r["gram"]: r["n"] for r in read("sizes", wanted).collect()}  # one row a gram of the text
     if len(sizes) < len(wanted):
-        return read("postings", wanted[:1]).filter("false").select(key)
+        return spark.read.parquet(f"{folder}/rows").filter("false").select(key)
     chosen = sorted(wanted, key=lambda g: (sizes[g], g))[:most]
-    return (read("postings", chosen).groupBy(key, "column").agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") == len(chosen)).select(key).distinct())
+    texts = (read("postings", chosen).groupBy("text_id", "column").agg(F.count_distinct("gram").alias("n"))
+             .filter(F.col("n") == len(chosen)).select("text_id", "column"))
+    return spark.read.parquet(f"{folder}/rows").select(key, "column", "text_id").join(texts, ["text_id", "column"], "left_semi").select(key).distinct()
 
 
 def like_pattern(text: str) -> str:

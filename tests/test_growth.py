@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from rivalscope.operators import search
 from rivalscope.operators import vectors as vx
 from rivalscope.sources import html
 
@@ -46,3 +47,16 @@ def test_chunks_leave_in_slices():
     out = list(vx._cutter(500, 100).func(iter([pa.array(texts)])))
     assert len(out) > 3 and sum(map(len, out)) == len(texts)
     assert pa.concat_arrays(out).to_pylist() == [vx.split_recursive(t, 500, 100) if t else [] for t in texts]
+
+
+def test_gram_index_grows_with_distinct_texts(spark, folder):
+    """Rows that share a text share its postings; a search finds all of them, nulls none."""
+    rows = spark.createDataFrame([(i, ["blue ring", "hot bolt", None][i % 3], "RING" if i % 5 == 0 else "x") for i in range(600)],
+                                 "id bigint, title string, category string")
+    search.write_gram_index(rows, "id", ["title", "category"], folder, parts=4)
+    # grams: 7 of "blue ring", 6 of "hot bolt", 2 of "RING"
+    assert spark.read.parquet(f"{folder}/postings").count() == 15
+    found = {r.id for r in search.search(rows, folder, "id", ["title", "category"], "ring", parts=4).collect()}
+    assert found == {i for i in range(600) if i % 3 == 0 or i % 5 == 0}
+    assert {r.id for r in search.candidates(spark, folder, "id", "bolt", parts=4).collect()} == {i for i in range(600) if i % 3 == 1}
+    assert search.candidates(spark, folder, "id", "rings", parts=4).count() == 0
