@@ -41,13 +41,15 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 #: Tables whose rows are costly to work on (texts, pages, stored reports).
 COSTLY = {"documents", "pages", "page_snapshots"}
+#: Model tables that make a page of each small row: what they read is spread.
+MADE_PAGES = {"shop_pages", "kind_pages", "item_pages", "home_pages"}
 
 
 def bind(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A model table or an input table as a DataFrame."""
     def table(t: str) -> DataFrame:
         df = read_table(spark, t, folder)
-        return spread(df) if name in COSTLY else df
+        return spread(df) if name in COSTLY or name in MADE_PAGES else df
 
     if name in TABLES:
         return table(name)

@@ -143,15 +143,16 @@ def extract_products(parts: DataFrame) -> DataFrame:
 
 def product_links(texts: Column | str) -> Column:
     """Product URLs of a page's JSON-LD: the items of the first list, else the products' own URLs."""
-    objs = json_ld_nodes(as_col(texts))
-    lists = F.filter(objs, lambda o: F.get_json_object(o, _TYPE) == "ItemList")
-
     def items(o: Column) -> Column:
         raw = F.from_json(F.get_json_object(o, "$.itemListElement"), "array<string>")
         return F.array_compact(F.transform(raw, lambda e: F.coalesce(
             F.nullif(F.get_json_object(e, "$.url"), F.lit("")), F.get_json_object(e, "$.item.url"))))
 
-    filled = F.filter(F.transform(lists, items), lambda x: F.size(x) > 0)
-    own = F.array_compact(F.transform(F.filter(objs, lambda o: F.get_json_object(o, _TYPE) == "Product"), lambda o: F.coalesce(
-        F.nullif(F.get_json_object(o, "$.url"), F.lit("")), F.get_json_object(o, "$.offers.url"))))
-    return F.coalesce(first(filled), own)
+    def links(objs: Column) -> Column:
+        lists = F.filter(objs, lambda o: F.get_json_object(o, _TYPE) == "ItemList")
+        filled = F.filter(F.transform(lists, items), lambda x: F.size(x) > 0)
+        own = F.array_compact(F.transform(F.filter(objs, lambda o: F.get_json_object(o, _TYPE) == "Product"), lambda o: F.coalesce(
+            F.nullif(F.get_json_object(o, "$.url"), F.lit("")), F.get_json_object(o, "$.offers.url"))))
+        return F.coalesce(first(filled), own)
+
+    return bind_once(json_ld_nodes(as_col(texts)), links)

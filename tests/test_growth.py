@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from __spark_entry__ import QUERIES
 from rivalscope.operators import search
 from rivalscope.operators import vectors as vx
 from rivalscope.sources import html
@@ -60,3 +61,11 @@ def test_gram_index_grows_with_distinct_texts(spark, folder):
     assert found == {i for i in range(600) if i % 3 == 0 or i % 5 == 0}
     assert {r.id for r in search.candidates(spark, folder, "id", "bolt", parts=4).collect()} == {i for i in range(600) if i % 3 == 1}
     assert search.candidates(spark, folder, "id", "rings", parts=4).count() == 0
+
+
+def test_pages_are_parsed_once_on_all_cores(spark, data):
+    """A filter made of the nodes stays above the parsing, and pages made of a small table are spread first."""
+    for name in ("prd_05_product_link_kinds", "prd_05_product_links", "prd_06_section_kinds", "aud_00_page_elements"):
+        out = QUERIES[name](spark, data)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1, name
+    assert QUERIES["prd_05_product_link_kinds"](spark, data).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
