@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from __spark_entry__ import QUERIES
 from rivalscope.operators import search
@@ -80,3 +81,12 @@ def test_link_sets_come_from_one_pass(spark, data):
     assert out.count() == len(got) and {k for _, k, _ in got} == {"internal", "external"}
     some = min(p for p, _, _ in got)
     assert (some, "external", "other.example/x") in got and (some, "internal", f"/in/{some}") in got
+
+
+def test_page_queries_parse_once_in_slices(spark, data):
+    """Each page query gets its nodes from one pass of the parser that gives them in slices."""
+    for name in ("cls_06_classify_pages", "aud_05_links", "aud_26_overall_seo", "aud_07_element_counts", "txt_11_time_markers",
+                 "aud_02_meta_description", "txt_10_main_content", "prd_05_product_links", "aud_00_page_elements", "set_04_link_sets"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        steps = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+        assert len(steps) == 1 and steps[0].rstrip().endswith(f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}"), (name, steps)
