@@ -1,5 +1,7 @@
 """What a step holds or moves must not grow faster than its input."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -44,6 +46,23 @@ def test_nodes_leave_in_slices():
     assert pa.concat_arrays(out).to_pylist() == html._node_arrays([*pages, "<i>z"], False).to_pylist()
 
 
+def test_parser_memory_does_not_follow_the_batch(monkeypatch):
+    """Beyond the batch itself, the most a worker holds is the same for few pages and for many."""
+    def held(n):
+        batch = pa.array(["<ul class=a>" + "<li><a href=/x>some words</a></li>" * 300 + "</ul>"] * n)
+        before = pa.total_allocated_bytes()
+        tracemalloc.start()
+        arrow = max(pa.total_allocated_bytes() - before for _ in html._parser(True).func(iter([batch])))
+        python = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return arrow, python
+
+    monkeypatch.setattr(html, "SLICE_LETTERS", 30_000)
+    held(5)
+    few, many = held(10), held(60)
+    assert all(m <= 1.3 * f for f, m in zip(few, many)), (few, many)
+
+
 def test_chunks_leave_in_slices():
     texts = ["word " * 20_000] * 30 + [None, "", "one"]
     out = list(vx._cutter(500, 100).func(iter([pa.array(texts)])))
