@@ -76,6 +76,25 @@ def test_products_of_single_precision_only_choose():
     assert c[r == 0].tolist() == c[r == 7].tolist() == [0, 1, 2, 3, 4] and not np.isfinite(d[(r == 0) | (r == 7)]).any()
 
 
+def test_search_moves_each_vector_a_bounded_number_of_times(spark):
+    """Vectors travel in the precision they are stored in, to few tiles, and each pair meets once."""
+    for n in (50_000, 600_000):
+        blocks, turns = vx._grid(n, n, 64 * n, 4, vx.TILE_ROWS, vx.TILE_QUERIES)
+        assert blocks + turns <= 20 and blocks * turns >= 48 and n / blocks <= vx.TILE_ROWS
+    assert vx._grid(10, 600_000, 64 * 600_000, 10, vx.TILE_ROWS, vx.TILE_QUERIES)[1] == 1
+    assert vx._grid(100_000, 100_000, 4096 * 100_000, 4, vx.TILE_ROWS, vx.TILE_QUERIES)[0] >= 32
+    rows = spark.range(200).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.lit(1.0)).cast("array<float>").alias("embedding"))
+    left, right = vx._unit_rows(rows, "vec_id", "embedding", "query"), vx._unit_rows(rows, "vec_id", "embedding", "item")
+    tiles = vx._tiles(left, right, 3, 50, 70).withColumn("task", F.spark_partition_id()).collect()
+    assert {len(r.item_v if r._side == 0 else r.query_v) for r in tiles} == {12}
+    blocks, turns = vx._grid(200, 200, 600, 3, 50, 70)
+    assert len(tiles) == 200 * (blocks + turns) and len({r._cell for r in tiles}) == len({r.task for r in tiles}) == blocks * turns
+    sides = {}
+    for r in tiles:
+        sides.setdefault(r._cell, ([], []))[r._side].append(r.item if r._side == 0 else r.query)
+    assert sorted((q, i) for items, queries in sides.values() for q in queries for i in items) == [(q, i) for q in range(200) for i in range(200)]
+
+
 def test_nodes_leave_in_slices():
     """A batch of many pages is never held as nodes at once; slices join to the same nodes."""
     pages = [f"<p id=a>{'x ' * 40_000}</p>" for _ in range(40)] + [None, "", "<b>" + "y" * (2 * html.SLICE_LETTERS)]
